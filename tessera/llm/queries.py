@@ -6,18 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import table
 
+from . import secrets
 from .minhash import near_duplicates
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=0.8)
 
 
 QUERIES = {
+    "op1_secret_scans": op1_secret_scans,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_secret_scans": secrets.ORACLE_SQL,
     "op7_minhash_near_dedup": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w

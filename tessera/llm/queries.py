@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import table
 
-from . import secrets
+from . import licenses, secrets, urlfilter
 from .minhash import near_duplicates
 
 
@@ -14,17 +14,29 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=0.8)
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op3_url_filters": op3_url_filters,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op10_license_scans": op10_license_scans,
 }
 
 ORACLE_SQL = {
     "op1_secret_scans": secrets.ORACLE_SQL,
+    "op3_url_filters": urlfilter.ORACLE_SQL,
+    "op10_license_scans": licenses.ORACLE_SQL,
     "op7_minhash_near_dedup": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import table
 
-from . import licenses, secrets, urlfilter
+from . import licenses, mixing, secrets, urlfilter
 from .minhash import near_duplicates
 
 
@@ -22,6 +22,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=0.8)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_schedule(table(spark, sf_dir, "documents"), max_repeats=2.0)
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -30,12 +34,14 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op3_url_filters": op3_url_filters,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op9_mixing": op9_mixing,
     "op10_license_scans": op10_license_scans,
 }
 
 ORACLE_SQL = {
     "op1_secret_scans": secrets.ORACLE_SQL,
     "op3_url_filters": urlfilter.ORACLE_SQL,
+    "op9_mixing": mixing.ORACLE_SQL,
     "op10_license_scans": licenses.ORACLE_SQL,
     "op7_minhash_near_dedup": r"""
         WITH RECURSIVE words AS (

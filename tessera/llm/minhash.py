@@ -17,6 +17,8 @@ from .scratch import materialize
 
 ROWS, BANDS = 5, 38  # a pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**38 = 2.8e-7
 BINS = ROWS * BANDS
+PAIRS = 5_000  # a unit of more pairs is compared in blocks
+BLOCK_SHINGLES = 2_000_000  # of a unit's block, about
 SKETCH_SIGMAS = 6  # a pair at the threshold has fewer equal sketch bits with probability 1e-9
 
 _U = np.uint64
@@ -159,6 +161,70 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float
     return joined.mapInArrow(confirm, "a long, b long")
 
 
+def _unit_pairs(units: DataFrame, small: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of small units that can be links: one node outside the unit's component."""
+    few = units.join(small.select("unit"), "unit")
+    return (
+        few.where("component != unit")
+        .alias("x")
+        .join(
+            few.alias("y"),
+            (F.col("x.unit") == F.col("y.unit"))
+            & (F.col("x.component") != F.col("y.component"))
+            & ((F.col("y.component") == F.col("y.unit")) | (F.col("x.node") < F.col("y.node")))
+            & _plausible("x", "y", similarity),
+        )
+        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        .distinct()
+    )
+
+
+def _unit_links(units: DataFrame, large: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) in large units, at least one for each linked node and component.
+
+    All nodes of a unit are dealt to blocks, and those outside its component once more; every pair of
+    one block of each kind is a group, so a group's size has a bound (a single text aside) and a
+    hot unit becomes many groups.
+    """
+    percent = round(similarity * 100)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def link(group: pa.Table) -> pa.Table:
+        rest, out = [], {}
+        nodes, kinds, components = (group[c].to_pylist() for c in ("node", "outside", "component"))
+        for k, node in enumerate(nodes):
+            if kinds[k]:
+                rest.append((node, components[k], shingle_hashes(group["text"][k].as_py(), words)))
+        if not rest:
+            return schema.empty_table()
+        hashes = np.concatenate([x[2] for x in rest])
+        owner = np.repeat(np.arange(len(rest)), [len(x[2]) for x in rest])
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+        sizes = np.array([len(x[2]) for x in rest])
+        of = np.array([x[1] for x in rest])
+        for k, node in enumerate(nodes):
+            if kinds[k]:
+                continue
+            own = shingle_hashes(group["text"][k].as_py(), words)
+            low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+            n = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(rest))
+            hit = (both > 0) & (100 * both >= percent * (sizes + len(own) - both)) & (of != components[k])
+            for j in np.flatnonzero(hit):
+                out.setdefault((rest[j][0], components[k]), node)
+        return pa.table({"a": [x for x, _ in out], "b": list(out.values())}, schema=schema)
+
+    dealt = units.join(large, "unit").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n_all") / BLOCK_SHINGLES)))
+    blocks = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_all") / BLOCK_SHINGLES) - 1)
+    columns = ["unit", "node", "component"]
+    every = dealt.select(*columns, F.lit(False).alias("outside"), F.col("block").alias("i"), F.explode(blocks).alias("j"))
+    outside = dealt.where("component != unit").select(*columns, F.lit(True).alias("outside"), F.explode(blocks).alias("i"), F.col("block").alias("j"))
+    rows = every.unionByName(outside).join(texts.withColumnRenamed("doc_id", "node"), "node")
+    return rows.groupBy("unit", "i", "j").applyInArrow(link, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; others ignored).
 
@@ -167,11 +233,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     Equal sets are one node from the start, so copies cost one row each. A signature of BINS
     one-permutation minima with optimal densification is cut into BANDS keys. In each bucket, every
-    node is paired with the bucket's smallest only (a star). Then the nodes of a bucket that are
-    still in another component than its centre are paired with the bucket's nodes of other
-    components: no pair is dropped for the star's sake, and pairs within a component, which could
-    not change the result, are never made. Sizes and one-bit sketches rule out pairs that cannot
-    reach the threshold before any text is joined.
+    node is paired with the bucket's smallest only (a star). That leaves buckets whose nodes are not
+    all linked. Those with the same component at their centre form a unit, in which each node outside
+    that component is held against all nodes of other components, so the star loses no link, and
+    pairs within a component, which could not change the result, are never made. A unit of few pairs
+    makes them; sizes and one-bit sketches rule out most before any text is joined. In a larger one,
+    blocks of bounded size meet in tasks that count common shingles and return links alone.
 
     No words (null, empty, white space): n_shingles 0, linked with nothing. Repeated rows get equal
     results, one row each. A null doc_id: component_id null, kept true. Empty table: no rows.
@@ -211,22 +278,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         .where("lo != hi")
         .select("band", "main")
     )
-    of = materialize(of.join(mixed, "band"), "mixed")
-    rest = of.where("component != main").alias("x")
-    pairs = (
-        rest.join(
-            of.alias("y"),
-            (F.col("x.band") == F.col("y.band"))
-            & (F.col("x.component") != F.col("y.component"))
-            & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-            & _plausible("x", "y", similarity),
-        )
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
+    of = of.join(mixed, "band").select(F.col("main").alias("unit"), "node", "component").distinct()
+    units = materialize(of.join(sketches, "node"), "units")
+    rest = F.col("component") != F.col("unit")
+    sizes = units.groupBy("unit").agg(F.count("*").alias("n"), F.sum(rest.cast("long")).alias("n_rest"), F.sum("n_shingles").alias("n_all"))
+    pairs = _unit_pairs(units, sizes.where(F.col("n") * F.col("n_rest") <= PAIRS), similarity).join(star, ["a", "b"], "left_anti")
     more = _confirmed(materialize(pairs, "pairs"), texts, words, similarity)
-    whole = connected_components(links.unionByName(more))
+    large = _unit_links(units, sizes.where(F.col("n") * F.col("n_rest") > PAIRS), texts, words, similarity)
+    links = links.unionByName(more).unionByName(large)
+    whole = connected_components(links)
 
     component = F.coalesce("component", "node", "doc_id")
     return (

@@ -8,6 +8,7 @@ from tessera.session import table
 
 from . import licenses, mixing, secrets, urlfilter
 from .minhash import near_duplicates
+from .packing import pack_documents
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=0.8)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_schedule(table(spark, sf_dir, "documents"), max_repeats=2.0)
 
@@ -34,6 +39,7 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op3_url_filters": op3_url_filters,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_license_scans": op10_license_scans,
 }

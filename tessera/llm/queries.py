@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.session import table
 
 from . import licenses, mixing, secrets, urlfilter
+from .langid import identify_languages
 from .minhash import near_duplicates
 from .packing import pack_documents
 
@@ -15,6 +16,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -37,6 +42,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_packing": op8_packing,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import table
 
-from . import licenses, mixing, secrets, suffixdedup, urlfilter
+from . import embeddings, licenses, mixing, secrets, suffixdedup, urlfilter
 from .langid import identify_languages
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -28,6 +28,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_embeddings(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=0.8)
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
@@ -59,6 +64,7 @@ ORACLE_SQL = {
     "op1_secret_scans": secrets.ORACLE_SQL,
     "op3_url_filters": urlfilter.ORACLE_SQL,
     "op4_suffix_array_dedup": suffixdedup.ORACLE_SQL,
+    "op6_embedding_near_dedup": embeddings.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
     "op10_license_scans": licenses.ORACLE_SQL,
     "op7_minhash_near_dedup": r"""

@@ -84,23 +84,15 @@ def _pooled(weights: dict, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return pooled / n, labelled / n
 
 
-def identify_languages(docs: DataFrame) -> DataFrame:
-    """A row for each row of docs (doc_id, text, lang; other columns are ignored): doc_id, held_out
-    (crc32 of the id as text, modulo 4, is 2), lang_pred, score (0 to 1), agreeing (the share of
-    positions labelled lang_pred).
-
-    Learned from text and lang of rows that are not held out (training_sample); predicted from every
-    byte of the text alone. Each position is labelled with the languages' probabilities from the
-    states of both directions, which run over CHUNK bytes; the document's are their mean. Null texts
-    and texts without a letter are und with score 0, as is every text if nothing could be learned.
-    """
+def _predicted(docs: DataFrame, carried: Column) -> DataFrame:
+    """row (what is carried along), lang_pred, score, agreeing for each row of docs."""
     languages, weights = fit_languages(docs)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                texts = [(t.as_py() or "").encode("utf-8", "replace") if u.as_py() and languages else b"" for t, u in zip(part[2], part[3], strict=True)]
+                texts = [(t.as_py() or "").encode("utf-8", "replace") if u.as_py() and languages else b"" for t, u in zip(part[1], part[2], strict=True)]
                 names, scores, shares = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
                 if languages:
                     pooled, labelled = _pooled(weights, texts)
@@ -108,12 +100,30 @@ def identify_languages(docs: DataFrame) -> DataFrame:
                         if t:
                             k = int(pooled[i].argmax())
                             names[i], scores[i], shares[i] = languages[k], min(1.0, float(pooled[i][k])), float(labelled[i][k])
-                columns = [part[0], part[1], pa.array(names), pa.array(scores), pa.array(shares)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "agreeing"])
+                yield pa.RecordBatch.from_arrays([part[0], pa.array(names), pa.array(scores), pa.array(shares)], ["row", "lang_pred", "score", "agreeing"])
 
     text = F.col("text").cast("string")
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text.alias("text"),
-        F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("usable"),
-    )
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, agreeing double")
+    rows = docs.select(carried.alias("row"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("usable"))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(predict, f"row {kind}, lang_pred string, score double, agreeing double")
+
+
+def identify_languages(docs: DataFrame) -> DataFrame:
+    """A row for each row of docs (doc_id, text, lang; other columns are ignored): doc_id, held_out
+    (crc32 of the id as text, modulo 4, is 2), lang_pred, score (0 to 1), agreeing (the share of
+    positions labelled lang_pred).
+
+    Learned from text and lang of rows that are not held out (training_sample); predicted from every
+    byte of the text alone. Each position is labelled with the languages' probabilities from the
+    states of both directions, which run over CHUNK bytes; the document's are their mean. Null texts
+    and texts without a letter are und with score 0, as is every text if nothing could be learned.
+    A null doc_id counts as not held out. Repeated rows get equal results. Empty table: no rows.
+    """
+    carried = F.struct(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"))
+    return _predicted(docs, carried).select("row.doc_id", "row.held_out", "lang_pred", "score", "agreeing")
+
+
+def keep_identified(docs: DataFrame, least_score: float) -> DataFrame:
+    """The rows of docs, all columns, whose language is determined with at least that score. Rows
+    travel along with their text, so nothing is joined or shuffled."""
+    return _predicted(docs, F.struct(*docs.columns)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("row.*")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tessera.session import table
 
-from . import embeddings, licenses, mixing, secrets, suffixdedup, urlfilter
+from . import embeddings, licenses, media, mixing, secrets, suffixdedup, urlfilter
 from .langid import identify_languages
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -28,6 +29,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.near_media(media.draw_embeddings(table(spark, sf_dir, "embeddings")))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_embeddings(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -53,11 +58,13 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_media_columns": op5_media_columns,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_license_scans": op10_license_scans,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

@@ -9,7 +9,7 @@ from tessera.llm.langid import keep_identified
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.mixing import mix_sources
 from tessera.llm.packing import pack_documents
-from tessera.llm.scratch import materialize
+from tessera.llm.scratch import materialize, packed
 from tessera.llm.secrets import redact_secrets
 from tessera.session import table
 
@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return packed(docs).join(gone, F.col("row.doc_id") == F.col("doc_id"), "left_anti").select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

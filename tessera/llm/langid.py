@@ -126,4 +126,4 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least_score: float) -> DataFrame:
     """The rows of docs, all columns, whose language is determined with at least that score. Rows
     travel along with their text, so nothing is joined or shuffled."""
-    return _predicted(docs, F.struct(*docs.columns)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("row.*")
+    return _predicted(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns])).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("row.*")

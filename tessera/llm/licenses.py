@@ -58,7 +58,8 @@ SPELLINGS = (
     ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("organisation", "organization"),
     ("recognised", "recognized"), ("sub license", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"),
 )
-COPYRIGHT_LINE = r"(^|\n)[\x20\x09>#*/;-]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*"
+#: A line that names a holder: a wrapped sentence may also begin with the word alone.
+COPYRIGHT_LINE = r"(^|\n)[\x20\x09>#*/;-]*(?:copyright[\x20\x09:]*(?:\(c\)|©|by\b|[0-9]{4})|\(c\)[\x20\x09]|©|all rights reserved)[^\n]*"
 #: Runs of controls, space, ASCII punctuation and typographic marks.
 MARKS = r"[\x00-/:-@\[-`{-\x7f\x{a0}\x{a9}\x{2010}-\x{201f}\x{2022}\x{2026}]+"
 _VARIANT = r"\b(?:" + "|".join(v for v, _ in SPELLINGS) + r")\b"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import materialize, packed
 
 GRID = 2**20  # the exponent is a multiple of 1 / GRID
 POINTS = 15  # exponents that one pass over the sources' totals evaluates: four bisections
@@ -154,8 +154,9 @@ def mix_sources(
     plan = plan.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     plan = materialize(plan, "cuts")
     times = F.col("_full") + F.coalesce(_draw(seed, F.col("_full")) <= F.col("_cut"), F.lit(False)).cast("long")
-    rows = _with_plan(docs, plan).where(times > 0)
-    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
+    rows = packed(docs).select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").cast("string").alias("source"))
+    rows = _with_plan(rows, plan).where(times > 0)
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), times))).select("row.*")
 
 
 ORACLE_SQL = rf"""

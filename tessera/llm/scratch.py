@@ -7,6 +7,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -42,3 +43,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     with _shuffles_dropped(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df with each row as one column, row, so that columns of any name can stand beside it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import packed
 from .spans import find_spans
 
 # The base patterns, their least lengths and their order.
@@ -124,24 +125,29 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 def redact_secrets(docs: DataFrame, mark: str = "[REDACTED]", scope: int = SCOPE) -> DataFrame:
     """docs with every found span replaced in text by the mark; overlapping spans become one.
     n_chars, where docs has it, is counted anew for changed rows. Rows without spans are as they were."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = secret_spans(docs, scope).select(F.col("doc_id").alias("_found_id"), F.col("key").alias("_found_key"), F.col("found").alias("_found"))
-    same = F.col("doc_id").eqNullSafe(F.col("_found_id")) & (F.xxhash64(F.lit(1), text) == F.col("_found_key.a")) & (F.xxhash64(F.lit(2), text) == F.col("_found_key.b"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    found = secret_spans(docs, scope).select("doc_id", "key", "found")
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.lit(1), text) == F.col("key.a")) & (F.xxhash64(F.lit(2), text) == F.col("key.b"))
 
     def step(acc: Column, s: Column) -> Column:
         """Pieces of text up to s; a span that begins inside the last one only moves its end."""
-        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
         new = F.array_append(F.array_append(acc["pieces"], gap), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when((s["start"] >= acc["at"]) , new).otherwise(acc["pieces"]).alias("pieces"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["pieces"]).alias("pieces"))
+
+    def rest(acc: Column) -> Column:
+        return F.array_join(F.array_append(acc["pieces"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))), "")
 
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("pieces"))
-    rest = lambda acc: F.array_join(F.array_append(acc["pieces"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))), "")
-    changed = F.size(F.coalesce("_found", F.array().cast(_FOUND))) > 0
-    out = docs.join(found, same, "left").withColumn("_changed", changed)
-    out = out.withColumn("text", F.when(F.col("_changed"), F.aggregate("_found", begin, step, rest)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    changed = F.size(F.coalesce("found", F.array().cast(_FOUND))) > 0
+    out = packed(docs).join(found, same, "left")
+    out = out.select("row", F.when(changed, F.aggregate("found", begin, step, rest)).alias("redacted"))
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    columns["text"] = F.coalesce("redacted", columns["text"])
+    if "n_chars" in columns:
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(F.col("redacted").isNotNull(), F.length("redacted").cast(kind)).otherwise(columns["n_chars"])
+    return out.select(*[x.alias(c) for c, x in columns.items()])
 
 
 def _oracle() -> str:

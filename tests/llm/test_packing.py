@@ -1,0 +1,75 @@
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tessera.llm import packing
+from tessera.llm.cutting import whole_patterns
+
+from .helpers import ODD, clashing, frame
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(packing.default_paths()[0])
+
+
+def check(rows, texts, tokenizer):
+    """texts: (doc_id, text) of every row. Pieces tile each document, sequences are gapless."""
+    pieces, sequences = defaultdict(Counter), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id][r.start, r.length, r.ids_crc32, r.doc_tokens] += 1
+        sequences[r.sequence_id].append((r.offset, r.length))
+    want = defaultdict(Counter)
+    for i, text in texts:
+        ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [0], dtype="<u4")
+        for at in range(0, len(ids), 1024):
+            part = ids[at : at + 1024]
+            want[i][at, len(part), zlib.crc32(part.tobytes()), len(ids)] += 1
+    assert pieces == want
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    return sum(n for p in sequences.values() for _, n in p) / (1024 * len(sequences))
+
+
+def test_pieces_and_sequences(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_PIECES", 10)
+    texts = [(i, "some words é ß " * (1 + i * 7 % 300) + "x" * (i % 5)) for i in range(150)] + [(500 + k, "copied text " * 30) for k in range(60)]
+    rows = packing.pack_documents(frame(spark, [(*t, "en", "s", 0) for t in texts])).collect()
+    assert check(rows, texts, tokenizer) > 0.95
+
+
+def test_odd_rows_and_empty_tables(spark, tokenizer):
+    rows = packing.pack_documents(clashing(frame(spark, ODD))).collect()
+    check(rows, [r[:2] for r in ODD], tokenizer)
+    assert packing.pack_documents(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["", " ", "plain words, and 123 numbers!", "été où ß Ärger", "tab\tand\r\nlines  \n\n x", "<|endoftext|> inside", "日本語 and emoji 😀", "a\u00a0b\u0085c\x1cd\u2003e", "don't we'll I'M", "x" * 3000, "\u00ad\u00b2\u00bd"],
+)
+def test_both_encoders_agree(text, tokenizer):
+    ids = packing.token_ids(text, *packing.default_paths())
+    assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_patterns_place_every_piece():
+    histogram = {k: 1 + (k * 37) % 11 for k in range(1, 128)}
+    patterns = whole_patterns(histogram, 128)
+    placed = Counter()
+    for pattern, often in patterns:
+        assert sum(n * c for n, c in pattern) <= 128
+        for n, c in pattern:
+            placed[n] += c * often
+    assert placed == histogram
+    bins = sum(often for _, often in patterns)
+    assert bins <= 1.01 * sum(n * c for n, c in histogram.items()) / 128 + 1
+    assert whole_patterns({}, 128) == []

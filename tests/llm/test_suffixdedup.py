@@ -1,0 +1,87 @@
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+
+from tessera.llm import suffixdedup as sd
+from tessera.llm.suffixsort import sort_rows
+
+from .helpers import ODD, clashing, frame
+
+
+def brute(texts):
+    raws = [(t or "").encode() for t in texts]
+    seen = Counter(r[i : i + 200] for r in raws for i in range(len(r) - 199))
+    out = []
+    for r in raws:
+        gone = np.zeros(len(r) + 1, dtype=bool)
+        for i in range(len(r) - 199):
+            if seen[r[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        kept = bytes(b for b, g in zip(r, gone, strict=False) if not g)
+        out.append((len(r), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def corpus(seed, n=60):
+    rng = random.Random(seed)
+    letters = "abcdefé \n"
+    make = lambda k: "".join(rng.choice(letters) for _ in range(k))
+    shared = [make(k) for k in (150, 199, 200, 201, 230, 400, 900)]
+    texts = []
+    for _ in range(n):
+        parts = [make(rng.randrange(300)) for _ in range(rng.randrange(1, 4))]
+        for _ in range(rng.randrange(3)):
+            s = rng.choice(shared)
+            a = rng.randrange(0, max(1, len(s) - 150))
+            parts.insert(rng.randrange(len(parts) + 1), s[a : a + rng.randrange(150, 600)])
+        texts.append("".join(parts))
+    texts += ["x" * 199, "y" * 200, "y" * 200, "z" * 450, "ab" * 300, texts[0], "", None]
+    return texts
+
+
+def rows_of(spark, texts, **more):
+    rows = sd.remove_repeats(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), **more).collect()
+    return [tuple(r)[1:] for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_equal_to_all_windows(spark):
+    texts = corpus(1)
+    assert rows_of(spark, texts) == brute(texts)
+
+
+def test_cut_documents_and_small_sorts(spark, monkeypatch):
+    monkeypatch.setattr(sd, "BLOCK", 256)
+    monkeypatch.setattr(sd, "SORTED", 7)
+    texts = corpus(2)
+    assert rows_of(spark, texts) == brute(texts)
+
+
+def test_hot_anchors_are_counted(spark):
+    texts = corpus(3)
+    assert rows_of(spark, texts, hot=1) == brute(texts)
+
+
+def test_sorting_with_groups_and_extensions():
+    rng = np.random.default_rng(0)
+    lengths = rng.integers(0, 12, 300)
+    rows = np.where(np.arange(12)[None, :] < lengths[:, None], rng.integers(97, 99, (300, 12)), 0).astype(np.uint8)
+    starts = np.repeat([0, 1, 5, 100], [1, 4, 95, 200])
+    ends = np.repeat([1, 5, 100, 300], [1, 4, 95, 200])
+    order, common = sort_rows(rows, lengths, starts, ends)
+    raw = [bytes(r[:n]) for r, n in zip(rows, lengths, strict=True)]
+    for s, e in ((0, 1), (1, 5), (5, 100), (100, 300)):
+        assert [raw[k] for k in order[s:e]] == sorted(raw[s:e])
+        for k in range(s + 1, e):
+            x, y = raw[order[k - 1]], raw[order[k]]
+            assert common[k] == next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+
+
+def test_odd_rows_and_empty_tables(spark):
+    rows = sd.remove_repeats(clashing(frame(spark, ODD))).collect()
+    assert len(rows) == len(ODD) and all(r.n_removed == 0 for r in rows)
+    assert sd.remove_repeats(frame(spark, [])).count() == 0
+    twice = frame(spark, [(None, "q" * 100 + "r" * 150, None, None, None)] * 2)
+    assert [r.n_removed for r in sd.remove_repeats(twice).collect()] == [250, 250]

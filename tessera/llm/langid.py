@@ -30,8 +30,10 @@ def training_sample(docs: DataFrame) -> DataFrame:
     among them is cut off by its count first, so no task orders more than a few times the sample."""
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     usable = usable.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     h = F.xxhash64("text")
+    # texts, not rows: of a language that is mostly copies of a few texts, those few must be found
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct(h).alias("n"), F.count("*").alias("rows"))
+    counts = counts.orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES).select("lang", "n")
     share = (h.cast("double") / float(2**64)) + 0.5
     few = usable.join(F.broadcast(counts), "lang").where(share <= F.lit(4.0 * SAMPLE_DOCS) / F.col("n"))
     # equal texts have one hash: one of them is enough, and copies cannot crowd out the rest

@@ -282,9 +282,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     units = materialize(of.join(sketches, "node"), "units")
     rest = F.col("component") != F.col("unit")
     sizes = units.groupBy("unit").agg(F.count("*").alias("n"), F.sum(rest.cast("long")).alias("n_rest"), F.sum("n_shingles").alias("n_all"))
-    pairs = _unit_pairs(units, sizes.where(F.col("n") * F.col("n_rest") <= PAIRS), similarity).join(star, ["a", "b"], "left_anti")
+    pairs = _unit_pairs(units, sizes.where(F.col("n").cast("double") * F.col("n_rest") <= PAIRS), similarity).join(star, ["a", "b"], "left_anti")
     more = _confirmed(materialize(pairs, "pairs"), texts, words, similarity)
-    large = _unit_links(units, sizes.where(F.col("n") * F.col("n_rest") > PAIRS), texts, words, similarity)
+    large = _unit_links(units, sizes.where(F.col("n").cast("double") * F.col("n_rest") > PAIRS), texts, words, similarity)
     links = links.unionByName(more).unionByName(large)
     whole = connected_components(links)
 

@@ -18,7 +18,7 @@ from .scratch import materialize
 
 CAPACITY = 1024
 CLASS = 8  # lengths are rounded up to multiples of this in the linear program
-BUCKET_PIECES = 4096
+BUCKET_PIECES = 1024
 END = 0
 
 #: Texts for which the rank file's encoder provably splits as the tokenizer file does: no character

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import materialize, settled
 
 
+@settled
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node that can be reached) for every node of edges (a, b: long).
 

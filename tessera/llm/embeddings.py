@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import materialize
+from .scratch import materialize, settled
 
 CELL_ROWS = 1_000  # vectors of a cell, about, in a corpus of fewer than MAX_CELLS times as many
 MAX_CELLS = 4_096  # in all; larger corpora have larger cells
@@ -182,6 +182,7 @@ def _links(cells: DataFrame, threshold: float) -> DataFrame:
     return lefts.unionByName(rights).groupBy(*key, "i", "j").applyInArrow(link, "a long, b long, times long")
 
 
+@settled
 def near_embeddings(
     vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .hashing import PrefixHasher, splitmix
-from .scratch import materialize
+from .scratch import materialize, settled
 
 ROWS, BANDS = 5, 38  # a pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**38 = 2.8e-7
 BINS = ROWS * BANDS
@@ -225,6 +225,7 @@ def _unit_links(units: DataFrame, large: DataFrame, texts: DataFrame, words: int
     return rows.groupBy("unit", "i", "j").applyInArrow(link, "a long, b long")
 
 
+@settled
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; others ignored).
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import materialize, packed
+from .scratch import materialize, packed, settled
 
 GRID = 2**20  # the exponent is a multiple of 1 / GRID
 POINTS = 15  # exponents that one pass over the sources' totals evaluates: four bisections
@@ -120,6 +120,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     return materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), token_count().alias("tokens")), "counted")
 
 
+@settled
 def mix_schedule(
     docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: int | None = None, seed: int = 1
 ) -> DataFrame:
@@ -142,17 +143,22 @@ def mix_schedule(
     return chosen.select("doc_id", "source", "pass", block.alias("block"), "draw", "tokens")
 
 
+@settled
+def _cuts(docs: DataFrame, max_repeats: float | None, target_entropy: float | None, budget: int | None, seed: int) -> DataFrame:
+    """The plan with cut: the last draw that a source's partial pass takes."""
+    counted = _counted(docs)
+    plan = source_plan(counted, max_repeats, target_entropy, budget)
+    cuts = _passes(counted, plan, seed).where(F.col("pass") == F.col("_full")).where("chosen")
+    cuts = cuts.groupBy("source").agg(F.max("draw").alias("cut"))
+    return plan.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+
+
 def mix_sources(
     docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: int | None = None, seed: int = 1
 ) -> DataFrame:
     """docs with each row as often as mix_schedule uses it. The schedule's cut in each source's last
     pass is a draw, so the rows themselves are never shuffled: each looks up its source's plan."""
-    counted = _counted(docs)
-    plan = source_plan(counted, max_repeats, target_entropy, budget)
-    cuts = _passes(counted, plan, seed).where(F.col("pass") == F.col("_full")).where("chosen")
-    cuts = cuts.groupBy("source").agg(F.max("draw").alias("cut"))
-    plan = plan.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    plan = materialize(plan, "cuts")
+    plan = _cuts(docs, max_repeats, target_entropy, budget, seed)
     times = F.col("_full") + F.coalesce(_draw(seed, F.col("_full")) <= F.col("_cut"), F.lit(False)).cast("long")
     rows = packed(docs).select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").cast("string").alias("source"))
     rows = _with_plan(rows, plan).where(times > 0)

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cutting import whole_patterns
-from .scratch import materialize
+from .scratch import materialize, settled
 
 CAPACITY = 1024
 CLASS = 8  # lengths are rounded up to multiples of this in the linear program
@@ -97,6 +97,7 @@ def _places(histogram: dict[int, int], capacity: int) -> list[tuple]:
     return out
 
 
+@settled
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece of the rows of
     docs (doc_id, text; other columns are ignored), in sequences of CAPACITY tokens.

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_open = threading.local()  # paths of the tables written in each operator that is running
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,11 +43,45 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     lost executor costs no more than the tasks it was running."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    if getattr(_open, "paths", None):
+        _open.paths[-1].append(path)
     with _shuffles_dropped(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(operator):
+    """An operator whose result is written as a table, after which the tables it made on the way are
+    deleted. The result itself goes when an operator around this one ends, or with the folder."""
+
+    @wraps(operator)
+    def run(*args, **kwargs):
+        if not hasattr(_open, "paths"):
+            _open.paths = []
+        _open.paths.append([])
+        spark = None
+        try:
+            out = operator(*args, **kwargs)
+            spark = out.sparkSession
+            made = _open.paths.pop()
+            try:
+                return materialize(out, operator.__name__)
+            finally:
+                _delete(spark, made)
+        except BaseException:
+            if spark is None:
+                _delete(SparkSession.active(), _open.paths.pop())
+            raise
+
+    return run
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def packed(df: DataFrame) -> DataFrame:
     """df with each row as one column, row, so that columns of any name can stand beside it."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

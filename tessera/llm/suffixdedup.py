@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import PrefixHasher, splitmix
-from .scratch import materialize
+from .scratch import materialize, settled
 from .suffixsort import sort_rows
 
 PASSAGE = 200  # bytes
@@ -258,6 +258,7 @@ def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return found
 
 
+@settled
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """A row for each row of docs (doc_id, text; other columns are ignored): doc_id, n_bytes,
     n_removed, n_spans, kept_sha256, after removing every byte of the UTF-8 text that is covered by a

@@ -11,7 +11,7 @@ from tessera.llm.mixing import mix_sources
 from tessera.llm.packing import pack_documents
 from tessera.llm.scratch import materialize, packed
 from tessera.llm.secrets import redact_secrets
-from tessera.session import table
+from tessera.session import ship_package, table
 
 LEAST_SCORE = 0.3  # of the language; a text in a learned language scores higher even if it is a few words
 MAX_REPEATS = 1.5  # of a source, while the least repeated one is used once
@@ -19,27 +19,32 @@ MAX_REPEATS = 1.5  # of a source, while the least repeated one is used once
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be told go: null texts, texts without letters, doubtful ones."""
+    ship_package(spark)
     return keep_identified(docs, LEAST_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest doc_id."""
+    ship_package(spark)
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return packed(docs).join(gone, F.col("row.doc_id") == F.col("doc_id"), "left_anti").select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
+    ship_package(spark)
     return redact_secrets(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Small sources are repeated, MAX_REPEATS times at most; every document is used at least once."""
+    ship_package(spark)
     return mix_sources(docs, max_repeats=MAX_REPEATS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences."""
+    ship_package(spark)
     return pack_documents(docs)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessera.session import table
+from tessera.session import ship_package, table
 
 from . import embeddings, licenses, media, mixing, secrets, suffixdedup, urlfilter
 from .langid import identify_languages
@@ -53,7 +55,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
+_QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
@@ -67,6 +69,18 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
+
+def _shipped(query):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
+
 ORACLE_SQL = {
     "op1_secret_scans": secrets.ORACLE_SQL,
     "op3_url_filters": urlfilter.ORACLE_SQL,

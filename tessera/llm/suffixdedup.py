@@ -236,8 +236,9 @@ def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     elsewhere too. See remove_repeats. docs: doc_id, text_hash, raw (bytes)."""
     runs = _document_runs(docs)
     key = ["anchor", "run_a", "run_b"]
-    one = F.struct("doc_id", "text_hash", "start", "n", "lead")
-    distinct = runs.groupBy(*key).agg(F.count("*").alias("times"), F.min(one).alias("one"))
+    # the first row's columns: one occurrence, whichever, and no sort as a minimum of structs would need
+    one = [F.first(c).alias(c) for c in ("doc_id", "text_hash", "start", "n", "lead")]
+    distinct = runs.groupBy(*key).agg(F.count("*").alias("times"), *one)
     kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     known = distinct.join(kinds, "anchor", "left").where("times > 1 OR kinds > 1")
     known = materialize(known, "runs")
@@ -245,7 +246,7 @@ def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     whole = runs.join(known.where("times > 1").select(*key), key, "left_semi").select("doc_id", "text_hash", "start", F.col("n").cast("long").alias("n"))
     whole = materialize(whole, "whole")
 
-    partly = known.where("kinds > 1").select("anchor", "kinds", "one.*")
+    partly = known.where("kinds > 1").select("anchor", "kinds", "doc_id", "text_hash", "start", "n", "lead")
     same = partly.doc_id.eqNullSafe(docs.doc_id) & (partly.text_hash == docs.text_hash)
     partly = partly.join(docs, same).select(partly["*"], docs.raw)
     rows = _slices(partly.where(F.col("kinds") <= hot))

@@ -11,7 +11,12 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written. What its query has shuffled is of no use once the table is there; and rows
+#: hold whole texts, so a worker's batches, of which several are in memory at a time, are kept small.
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
 _open = threading.local()  # paths of the tables written in each operator that is running
 
 
@@ -25,17 +30,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_dropped(spark: SparkSession):
-    """What a query has shuffled is of no use once its result is a table."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _settings(spark: SparkSession):
+    before = {key: spark.conf.get(key, None) for key in _SETTINGS}
+    for key, value in _SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -45,7 +51,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     if getattr(_open, "paths", None):
         _open.paths[-1].append(path)
-    with _shuffles_dropped(spark):
+    with _settings(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -42,7 +42,7 @@ def test_tables_of_inner_operators_and_of_failed_ones_go(spark):
 
 
 def test_settings_are_as_before(spark):
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
+    keys = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(k) for k in keys]
     materialize(spark.range(2), "any")
-    assert spark.conf.get(key) == before
+    assert [spark.conf.get(k) for k in keys] == before

@@ -16,9 +16,9 @@ from .suffixsort import sort_rows
 
 PASSAGE = 200  # bytes
 GRAM = 32  # bytes of an anchor
-BLOCK = 1 << 19  # bytes hashed together, about
+BLOCK = 1 << 18  # bytes hashed together, about
 HOT = 20_000  # an anchor with more different surroundings is counted window by window
-SORTED = 8_000  # runs sorted together, unless one anchor has more
+SORTED = 4_000  # runs sorted together, unless one anchor has more
 TASK_RUNS = 50_000
 
 _U = np.uint64

@@ -50,6 +50,44 @@ KNOWN = (
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 )
+_BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+_BSD_CONDITIONS = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. ",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in "
+    "the documentation and/or other materials provided with the distribution. ",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission. ",
+)
+_BSD_AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT "
+    "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+    "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _bsd(conditions: int, numbered: bool) -> str:
+    return _BSD_GRANT + "".join(f"{k}. {c}" if numbered else c for k, c in enumerate(_BSD_CONDITIONS[:conditions], 1)) + _BSD_AS_IS
+
+
+# Whole texts beside those of the SQL's list; conditions by number or by mark.
+WHOLE = (
+    *(("BSD-2-Clause", _bsd(2, numbered)) for numbered in (True, False)),
+    *(("BSD-3-Clause", _bsd(3, numbered)) for numbered in (True, False)),
+    ("MIT-0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+              "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, "
+              "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+              "Software is furnished to do so. " + _AS_IS),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for "
+             "any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, "
+             "including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+             "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you "
+             "use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+             "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+             "3. This notice may not be removed or altered from any source distribution."),
+)
 # Spellings that licences use for each other.
 SPELLINGS = (
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("authorisation", "authorization"), ("authorised", "authorized"),
@@ -60,6 +98,12 @@ SPELLINGS = (
 )
 #: A line that names a holder: a wrapped sentence may also begin with the word alone.
 COPYRIGHT_LINE = r"(^|\n)[\x20\x09>#*/;-]*(?:copyright[\x20\x09:]*(?:\(c\)|©|by\b|[0-9]{4})|\(c\)[\x20\x09]|©|all rights reserved)[^\n]*"
+#: A line that is a licence's title alone, or names a holder without year or mark: upper case follows the word, as in no sentence.
+HEAD_LINE = (
+    r"(?m)^[\x20\x09>#*/;=-]*(?:(?i:(?:the[\x20])?(?:\(?(?:mit(?:-0|[\x20]no[\x20]attribution)?|expat|isc|zlib|0bsd|(?:bsd[\x20])?zero[-\x20]clause(?:[\x20]bsd)?"
+    r"|free[\x20]public[\x20]license[\x20]1\.0\.0|(?:new[\x20]|modified[\x20]|revised[\x20]|simplified[\x20])?bsd(?:[-\x20][23](?:[-\x20]clause)?)?|[23]-clause[\x20]bsd)\)?[\x20]*)"
+    r"(?:licen[sc]e)?[\x20]*(?:\([^()\n]{1,40}\))?)|Copyright[\x20\x09:]+[\p{Lu}<\[{][^\n]*)[\x20\x09\r:.*/=-]*$"
+)
 #: Runs of controls, space, ASCII punctuation and typographic marks.
 MARKS = r"[\x00-/:-@\[-`{-\x7f\x{a0}\x{a9}\x{2010}-\x{201f}\x{2022}\x{2026}]+"
 _VARIANT = r"\b(?:" + "|".join(v for v, _ in SPELLINGS) + r")\b"
@@ -82,7 +126,7 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known=KNOWN + WHOLE) -> DataFrame:
     """license_id, known_digest of a bounded list of (id, text); equal digests keep the first id by name."""
     texts = spark.createDataFrame(list(known), "license_id string, text string")
     return texts.groupBy(digest(F.col("text")).alias("known_digest")).agg(F.min("license_id").alias("license_id"))
@@ -90,7 +134,8 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """A row for each row of docs (doc_id, text; other columns are ignored): doc_id, digest (of the
-    whole canonical text), license_id (of the known licence with that digest, or null), notices
+    whole canonical text), license_id (of the known licence with that digest or, if there is none,
+    with that of the text without HEAD_LINEs: titles and holders without year; or null), notices
     (ids of the known texts that a line of the text equals, sorted, comma-joined; empty if none).
 
     Whole texts are normalised where they are read and only digests meet the known ones; that list
@@ -103,7 +148,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     known = known.where(F.col("known_digest") != F.sha2(F.lit("").cast("binary"), 256))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.struct(F.xxhash64(F.lit(1), text).alias("a"), F.xxhash64(F.lit(2), text).alias("b"))
-    rows = docs.select("doc_id", key.alias("key"), digest(text).alias("digest"))
+    bare = F.when(text.rlike(HEAD_LINE), digest(F.regexp_replace(text, HEAD_LINE, "")))
+    rows = docs.select("doc_id", key.alias("key"), digest(text).alias("digest"), bare.alias("bare"))
 
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, UPPER, LOWER).rlike(_NOTICE))
     noted = docs.where(F.translate(text, UPPER, LOWER).rlike(_NOTICE)).select("doc_id", key.alias("key"), F.explode(lines).alias("line"))
@@ -117,8 +163,9 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return (
         rows.alias("r")
         .join(known.alias("k"), F.col("r.digest") == F.col("k.known_digest"), "left")
+        .join(known.alias("b"), F.col("r.bare") == F.col("b.known_digest"), "left")
         .join(noted.alias("n"), same, "left")
-        .select(F.col("r.doc_id"), F.col("r.digest"), F.col("k.license_id"), F.coalesce("n.notices", F.lit("")).alias("notices"))
+        .select(F.col("r.doc_id"), F.col("r.digest"), F.coalesce("k.license_id", "b.license_id").alias("license_id"), F.coalesce("n.notices", F.lit("")).alias("notices"))
     )
 
 

@@ -52,6 +52,26 @@ def test_licences_are_found_in_other_spellings(spark):
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_licence_files_with_titles_and_holders(spark):
+    texts = {i: max((t for j, t in licenses.KNOWN + licenses.WHOLE if j == i), key=len) for i, _ in licenses.KNOWN + licenses.WHOLE}
+    wrapped = lambda i: texts[i].replace(". ", ".\n\n").replace(", ", ",\n")
+    docs = {
+        "MIT License\n\nCopyright (c) 2020 X\n\n" + wrapped("MIT"): "MIT",
+        "# The MIT License (MIT)\r\n\nCopyright Example Inc.\n\n" + wrapped("MIT"): "MIT",
+        "ISC License\n\nCopyright 2020 X\n\n" + wrapped("ISC"): "ISC",
+        "BSD Zero Clause License\n\nCopyright (C) 2020 by X\n\n" + wrapped("0BSD"): "0BSD",
+        "BSD 2-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + wrapped("BSD-2-Clause"): "BSD-2-Clause",
+        "BSD 3-Clause License\n\nCopyright <OWNER>\n\n" + wrapped("BSD-3-Clause"): "BSD-3-Clause",
+        "Copyright X\n" + licenses._bsd(3, True).replace("1. ", "\n* ").replace("2. ", "\n* ").replace("3. ", "\n* "): "BSD-3-Clause",
+        wrapped("Zlib"): "Zlib",
+        "MIT License\n\nCopyright is a word.\n" + wrapped("MIT"): None,
+        "MIT License": None,
+        "We chose the MIT License\n" + wrapped("MIT"): None,
+    }
+    rows = licenses.scan_licenses(frame(spark, [(k, t, "en", "s", 0) for k, t in enumerate(docs)])).collect()
+    assert {r.doc_id: r.license_id for r in rows} == dict(enumerate(docs.values()))
+
+
 def mixture(spark, monkeypatch=None):
     rng = random.Random(1)
     rows = []

@@ -91,13 +91,15 @@ def whole_patterns(histogram: dict[int, int], capacity: int, gap: float = 0.002)
     room: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by free space
     bins: list[dict[int, int]] = []
     for n, c in zip(lengths.tolist(), left.tolist(), strict=True):
-        for _ in range(c):
+        while c:
             free = next((f for f in range(n, capacity + 1) if room[f]), None)
             if free is None:
                 bins.append({})
                 k, free = len(bins) - 1, capacity
             else:
                 k = room[free].pop()
-            bins[k][n] = bins[k].get(n, 0) + 1
-            room[free - n].append(k)
+            fit = min(c, free // n)  # the bin stays the fullest for this length as long as it has room
+            bins[k][n] = bins[k].get(n, 0) + fit
+            c -= fit
+            room[free - fit * n].append(k)
     return out + [(tuple(b.items()), 1) for b in bins]

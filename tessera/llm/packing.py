@@ -9,7 +9,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,7 +17,8 @@ from .cutting import whole_patterns
 from .scratch import materialize, settled
 
 CAPACITY = 1024
-CLASS = 8  # lengths are rounded up to multiples of this in the linear program
+#: (length, step): lengths up to that one are rounded up to multiples of the step in the linear program, short ones not at all.
+CLASSES = ((64, 1), (128, 2), (256, 4), (CAPACITY, 8))
 BUCKET_PIECES = 1024
 END = 0
 
@@ -80,11 +81,19 @@ def cut_pieces(docs: DataFrame, capacity: int, vocabulary: str, ranks: str | Non
     return rows.mapInArrow(cut, ", ".join(f"{n} long" for n in names))
 
 
+def _class(length: Column) -> Column:
+    """A piece's length as the linear program counts it."""
+    out = F.lit(None).cast("long")
+    for most, step in reversed(CLASSES):
+        out = F.when(length <= most, F.ceil(length / step) * step).otherwise(out)
+    return out
+
+
 def _places(histogram: dict[int, int], capacity: int) -> list[tuple]:
     """Intervals of ranks within a class of lengths and where they go: (class, low, high, first
     sequence, how many side by side, pieces before them in the sequence's order)."""
-    whole = {k: n for k, n in histogram.items() if k * CLASS == capacity}
-    patterns = whole_patterns({k: n for k, n in histogram.items() if k not in whole}, capacity // CLASS)
+    whole = {k: n for k, n in histogram.items() if k == capacity}
+    patterns = whole_patterns({k: n for k, n in histogram.items() if k not in whole}, capacity)
     patterns += [(((k, 1),), n) for k, n in whole.items()]
     out, taken, sequence = [], dict.fromkeys(histogram, 0), 0
     for pattern, often in patterns:
@@ -104,7 +113,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, ranks: str |
 
     Documents are tokenized (vocabulary: a tokenizer's file, by default the public byte-level one of
     50k ids, with ranks as a faster equal) and end with id 0. Pieces are counted by length, rounded
-    up to classes of CLASS tokens; the histogram, of CAPACITY / CLASS counts whatever the corpus, is
+    up to CLASSES (short ones are exact); the histogram, of 224 counts whatever the corpus, is
     all that the driver sees. Column generation finds patterns of classes that fill a sequence, which
     become intervals of ranks: the piece of that rank among its class goes to that place. The
     intervals, some for each pattern and class, are bounded like the histogram and are broadcast.
@@ -116,9 +125,9 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, ranks: str |
     """
     if vocabulary is None:
         vocabulary, ranks = default_paths()
-    pieces = cut_pieces(docs, CAPACITY, vocabulary, ranks).withColumn("class", F.ceil(F.col("length") / CLASS))
+    pieces = cut_pieces(docs, CAPACITY, vocabulary, ranks).withColumn("class", _class(F.col("length")))
     pieces = materialize(pieces, "pieces")
-    counts = {r["class"]: r["count"] for r in pieces.groupBy("class").count().collect()}  # at most CAPACITY / CLASS rows
+    counts = {r["class"]: r["count"] for r in pieces.groupBy("class").count().collect()}  # at most 224 rows
     places = docs.sparkSession.createDataFrame(
         _places(counts, CAPACITY) or [(0, 0, 0, 0, 1, 0)], "class long, low long, high long, first long, side long, slot long"
     )

@@ -52,6 +52,15 @@ def test_odd_rows_and_empty_tables(spark, tokenizer):
     assert packing.pack_documents(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("words", [0, 16, 64])
+def test_short_pieces_fill_sequences(spark, tokenizer, words):
+    texts = [(i, "a" + " a" * (words - 1) if words else "") for i in range(4096 // (words + 1) + 3)]
+    rows = packing.pack_documents(frame(spark, [(*t, "en", "s", 0) for t in texts])).collect()
+    check(rows, texts, tokenizer)
+    fits = 1024 // {65: 66}.get(words + 1, words + 1)
+    assert {r.length for r in rows} == {words + 1} and len({r.sequence_id for r in rows}) == -(-len(texts) // fits)
+
+
 @pytest.mark.parametrize(
     "text",
     ["", " ", "plain words, and 123 numbers!", "été où ß Ärger", "tab\tand\r\nlines  \n\n x", "<|endoftext|> inside", "日本語 and emoji 😀", "a\u00a0b\u0085c\x1cd\u2003e", "don't we'll I'M", "x" * 3000, "\u00ad\u00b2\u00bd"],

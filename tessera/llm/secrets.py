@@ -34,6 +34,8 @@ ROLES = {"assign": "secret", "hex": "secret", "material": "secret", "access": "i
 COMPLEMENTS = {"secret": ("identifier", "endpoint"), "identifier": ("secret",), "endpoint": ("secret",)}
 SCOPE = 200  # code points between two parts of one credential, at most
 
+#: Of a URL: what comes before its host if it names a user, and all up to its query.
+_USERINFO, _PLACE = r"^https?://[^/?#]*@", r"^[^?#]*"
 _FOUND = "array<struct<start: bigint, rank: int, end: bigint>>"
 
 
@@ -64,6 +66,10 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """doc_id, base and found (arrays of start, rank in KINDS, end in code points, in that order)
     and key, for the rows of docs (doc_id, text; other columns are ignored) in which anything is found.
 
+    Only disjoint parts complement each other. An endpoint stands for its host and path, in which no
+    material counts, so a long URL alone is no finding; user names before and queries behind are parts
+    of their own. The SQL lets parts overlap; the two differ on such texts alone.
+
     base holds the base kinds' spans. found adds the weak parts that have a complementary part, weak
     or not, within scope code points. Parts become rows and an interval join pairs each with its
     nearest complements: within a document in order of position, the furthest end of a role before
@@ -75,17 +81,35 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text)
-    scanned = docs.select(F.col("doc_id"), F.struct(key[0].alias("a"), key[1].alias("b")).alias("key"), _found(text, BASE).alias("base"), _found(text, WEAK).alias("weak"))
+
+    def extent(s: Column) -> Column:
+        url = F.when(s["rank"] == KINDS.index("endpoint"), F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+        low = s["start"] + F.coalesce(F.length(F.regexp_extract(url, _USERINFO, 0)), F.lit(0))
+        high = F.coalesce(s["start"] + F.length(F.regexp_extract(url, _PLACE, 0)), s["end"])
+        return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), low.alias("low"), high.alias("high"))
+
+    base, weak = (F.transform(_found(text, kinds), extent) for kinds in (BASE, WEAK))
+    scanned = docs.select(F.col("doc_id"), F.struct(key[0].alias("a"), key[1].alias("b")).alias("key"), base.alias("base"), weak.alias("weak"))
     scanned = scanned.where((F.size("base") > 0) | (F.size("weak") > 0))
     parts = scanned.distinct().select("doc_id", "key", F.explode(F.concat("base", "weak")).alias("p")).select("doc_id", "key", "p.*")
     names = F.array(*[F.lit(ROLES[k]) for k in KINDS])
     parts = parts.withColumn("role", F.get(names, F.col("rank")))
 
-    order = W.partitionBy("doc_id", "key").orderBy("start", "rank", "end")
+    # what lies in an endpoint's host or path is part of the endpoint; endpoints don't overlap, so the last one decides
+    order = W.partitionBy("doc_id", "key").orderBy("start", F.desc("rank"), "end")
+    inside = F.max(F.when(F.col("role") == "endpoint", F.struct("start", "low", "high"))).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    parts = parts.withColumn("e", inside)
+    in_place = (F.col("rank") == KINDS.index("material")) & (F.col("end") > F.col("e.low")) & (F.col("end") <= F.col("e.high"))
+    parts = parts.where(~F.coalesce(in_place, F.lit(False))).drop("e")
+
+    # ends come before starts at the same place: a part's start sees all that ended, its end all that is to start
+    parts = parts.withColumn("begins", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("at", F.when(F.col("begins") == 1, F.col("low")).otherwise(F.col("high")))
+    order = W.partitionBy("doc_id", "key").orderBy("at", "begins", "rank")
     before, behind = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
-    gaps = {r: (F.max(F.when(F.col("role") == r, F.col("end"))).over(before), F.min(F.when(F.col("role") == r, F.col("start"))).over(behind)) for r in COMPLEMENTS}
+    ended, begun = (lambda r: F.when((F.col("role") == r) & (F.col("begins") == 0), F.col("at"))), (lambda r: F.when((F.col("role") == r) & (F.col("begins") == 1), F.col("at")))
+    gaps = {r: (F.max(ended(r)).over(before), F.min(begun(r)).over(behind)) for r in COMPLEMENTS}
     for r, (end, start) in gaps.items():
-        near = (F.col("start") - end <= scope) | (start - F.col("end") <= scope)
+        near = F.when(F.col("begins") == 1, F.col("at") - end <= scope).otherwise(start - F.col("at") <= scope)
         parts = parts.withColumn(f"near_{r}", F.coalesce(near, F.lit(False)))
     linked = F.lit(False)
     for r, others in COMPLEMENTS.items():
@@ -94,8 +118,8 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     is_base = F.col("rank") < len(BASE)
     span = F.struct("start", "rank", "end")
     return parts.groupBy("doc_id", "key").agg(
-        F.array_sort(F.collect_list(F.when(is_base, span))).alias("base"),
-        F.array_sort(F.collect_list(F.when(is_base | linked, span))).alias("found"),
+        F.array_sort(F.collect_set(F.when(is_base, span))).alias("base"),
+        F.array_sort(F.collect_set(F.when(is_base | linked, span))).alias("found"),
     )
 
 

@@ -48,6 +48,17 @@ def test_weak_parts_need_a_complement(spark):
     assert spans[3] == ""
 
 
+def test_a_long_url_alone_is_no_finding(spark):
+    url = "https://example.org/wiki/Category2024_Archive"
+    texts = [url, f"{url} and {url}", "https://example.org/x?sig=" + "Abc123" * 5, "https://u:" + "Abc123" * 5 + "@example.org/x", f"user_id = joe of {url}", "user_id = " + "Abc123" * 5]
+    docs = frame(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)])
+    spans = {r.doc_id: [x.split(":")[0] for x in r.spans.split(",") if x] for r in secrets.scan_secrets(docs).collect()}
+    assert [spans[i] for i in (0, 1, 4, 5)] == [[]] * 4
+    assert sorted(spans[2]) == sorted(spans[3]) == ["endpoint", "material"]
+    out = {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}
+    assert [out[i] for i in (0, 1, 4, 5)] == [texts[i] for i in (0, 1, 4, 5)] and out[2] == out[3] == "[REDACTED]"
+
+
 def test_redaction_replaces_spans_once(spark):
     text = "é before token = abcdef0123456789abcdef01 after"
     docs = frame(spark, [(1, text, "en", "a", len(text)), (2, "clean", "en", "a", 5)])

@@ -16,14 +16,20 @@ from pyspark.sql import functions as F
 _SETTINGS = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
+    # a side is broadcast if its file is small, or once its rows have been measured
+    "spark.sql.autoBroadcastJoinThreshold": "1048576",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10485760",
 }
 _open = threading.local()  # paths of the tables written in each operator that is running
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder of this machine only where that is unset (tests)."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder if this machine is all there is (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

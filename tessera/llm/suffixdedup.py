@@ -17,19 +17,20 @@ from .suffixsort import sort_rows
 PASSAGE = 200  # bytes
 GRAM = 32  # bytes of an anchor
 BLOCK = 1 << 18  # bytes hashed together, about
-HOT = 20_000  # an anchor with more different surroundings is counted window by window
-SORTED = 4_000  # runs sorted together, unless one anchor has more
+HOT = 1_000  # an anchor with more different surroundings is counted passage by passage, in all tasks
+SORTED = 4_000  # runs sorted together, about
 TASK_RUNS = 50_000
+SLICES = 1 << 22  # bytes of slices, or passages times their length, in one batch
 
 _U = np.uint64
 _MASK = _U((1 << 24) - 1)
-_ONE, _TWO = PrefixHasher(21), PrefixHasher(22)
+_HASHER = PrefixHasher(21)
 _RUN = "anchor long, run_a long, run_b long, doc_id long, text_hash long, start long, n int, lead int"
 
 
 def find_runs(data: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of passage starts with one anchor: first and last start, the anchor's place, its hash,
-    and two hashes of all bytes that the run's passages cover.
+    and a digest of all bytes that the run's passages cover, in two halves.
 
     A passage's anchor is the least-hashed of its GRAM-byte substrings, the leftmost of equals, so
     equal passages have equal anchors at equal places; about one position in 85 is an anchor.
@@ -39,8 +40,7 @@ def find_runs(data: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
     if n <= 0:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none, none, none
-    prefixes = _ONE.prefixes(data)
-    grams = splitmix(_ONE.windows(prefixes, GRAM))
+    grams = splitmix(_HASHER.windows(_HASHER.prefixes(data), GRAM))
     least = (grams & ~_MASK) | np.arange(len(grams), dtype=_U)
     span, reach = PASSAGE - GRAM + 1, 1
     while 2 * reach <= span:
@@ -57,10 +57,16 @@ def find_runs(data: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
     real = valid[first]
     first, last = first[real], last[real]
     at = anchor[first]
-    size = (last - first).astype(_U)
-    one = splitmix(_ONE.spans(prefixes, first, last + PASSAGE) + size)
-    two = splitmix(_TWO.spans(_TWO.prefixes(data), first, last + PASSAGE) + size)
-    return first, last, at, grams[at].view(np.int64), one.view(np.int64), two.view(np.int64)
+    one, two = digests(data.tobytes(), first, last + PASSAGE)
+    return first, last, at, grams[at].view(np.int64), one, two
+
+
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2b of each [start, end), 128 bits in two halves. Polynomial hashes would do for chance, but
+    some texts are made so that these collide; equality that no bytes confirm rests on a digest."""
+    joined = b"".join(hashlib.blake2b(data[s:e], digest_size=16).digest() for s, e in zip(starts.tolist(), ends.tolist(), strict=True))
+    halves = np.frombuffer(joined, dtype=np.int64).reshape(-1, 2)
+    return np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
 
 
 def _blocks(rows: Iterator[tuple]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -105,17 +111,29 @@ def _document_runs(rows: DataFrame) -> DataFrame:
 
 
 def _slices(rows: DataFrame) -> DataFrame:
-    """The bytes that each run covers; rows: anchor, doc_id, text_hash, start, n, lead, raw."""
+    """The bytes that each run covers; rows: doc_id, text_hash, raw and runs (anchor, kinds, start, n,
+    lead), so a text comes once, however many runs it has. Equal rows that follow each other are cut once."""
+    names = ["anchor", "kinds", "doc_id", "text_hash", "start", "n", "lead"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
-            raws = batch.column("raw")
-            starts, counts = batch.column("start").to_pylist(), batch.column("n").to_pylist()
-            out = [raws[i].as_py()[s : s + n + PASSAGE - 1] for i, (s, n) in enumerate(zip(starts, counts, strict=True))]
-            names = ["anchor", "doc_id", "text_hash", "start", "n", "lead"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.binary())], [*names, "bytes"])
-
-    return rows.mapInArrow(cut, "anchor long, doc_id long, text_hash long, start long, n int, lead int, bytes binary")
+            for k in range(batch.num_rows):
+                ids = [batch.column(c)[k].as_py() for c in ("doc_id", "text_hash")]
+                if ids == before:
+                    continue
+                before = ids
+                raw, runs = batch.column("raw")[k].as_py(), batch.column("runs")[k].values
+                starts, counts = (runs.field(c).to_numpy() for c in ("start", "n"))
+                ends = starts + counts + PASSAGE - 1
+                parts = np.flatnonzero(np.diff(np.cumsum(ends - starts) // SLICES)) + 1
+                for low, high in zip([0, *parts.tolist()], [*parts.tolist(), len(starts)], strict=True):
+                    columns = {c: runs.field(c).slice(low, high - low) for c in ("anchor", "kinds", "start", "n", "lead")}
+                    columns |= {c: pa.array([i] * (high - low), pa.int64()) for c, i in zip(("doc_id", "text_hash"), ids, strict=True)}
+                    out = [raw[s:e] for s, e in zip(starts[low:high].tolist(), ends[low:high].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(columns[c] for c in names), pa.array(out, pa.binary())], [*names, "bytes"])
+
+    return rows.mapInArrow(cut, "anchor long, kinds long, doc_id long, text_hash long, start long, n int, lead int, bytes binary")
 
 
 def repeated_starts(anchor: np.ndarray, lead: np.ndarray, count: np.ndarray, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -212,21 +230,24 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
 
 
 def _counted_out(rows: DataFrame) -> DataFrame:
-    """The same for anchors with very many runs, whose passages are counted one by one by two hashes:
-    such a group is spread over all tasks."""
+    """The same for anchors with very many runs, whose passages are counted one by one by a digest of
+    their bytes: such a group is spread over all tasks."""
     names = ["hash_a", "hash_b", "doc_id", "text_hash", "start"]
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column("bytes")[i].as_py(), dtype=np.uint8)
-                one, two = (splitmix(h.windows(h.prefixes(data), PASSAGE)).view(np.int64) for h in (_ONE, _TWO))
-                n = len(one)
-                ids = [pa.array([batch.column(c)[i].as_py()] * n, pa.int64()) for c in ("doc_id", "text_hash")]
-                start = pa.array(np.arange(n) + batch.column("start")[i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), *ids, start], names)
-
-    every = rows.mapInArrow(passages, ", ".join(f"{n} long" for n in names))
+            step = max(1, SLICES // (PASSAGE * PASSAGE))
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
+                n = part.column("n").to_numpy()
+                halves = [digests(raw, np.arange(k), np.arange(k) + PASSAGE) for raw, k in zip(part.column("bytes").to_pylist(), n.tolist(), strict=True)]
+                row = pa.array(np.repeat(np.arange(len(n)), n))
+                within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = pa.array(np.repeat(part.column("start").to_numpy(), n) + within)
+                ids = [part.column(c).take(row) for c in ("doc_id", "text_hash")]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(*halves, strict=True)), *ids, start], names)
+
+    every = materialize(rows.mapInArrow(passages, ", ".join(f"{n} long" for n in names)), "passages")
     twice = every.groupBy("hash_a", "hash_b").agg(F.count("*").alias("k")).where("k > 1").drop("k")
     return every.join(twice, ["hash_a", "hash_b"], "left_semi").select("doc_id", "text_hash", "start", F.lit(1).cast("long").alias("n"))
 
@@ -246,16 +267,19 @@ def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     whole = runs.join(known.where("times > 1").select(*key), key, "left_semi").select("doc_id", "text_hash", "start", F.col("n").cast("long").alias("n"))
     whole = materialize(whole, "whole")
 
-    partly = known.where("kinds > 1").select("anchor", "kinds", "doc_id", "text_hash", "start", "n", "lead")
+    partly = known.where("kinds > 1")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), partly.count() // TASK_RUNS + 1)
+    # one row a document, whose runs are bounded by its own length
+    partly = partly.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "kinds", "start", "n", "lead")).alias("runs"))
     same = partly.doc_id.eqNullSafe(docs.doc_id) & (partly.text_hash == docs.text_hash)
-    partly = partly.join(docs, same).select(partly["*"], docs.raw)
-    rows = _slices(partly.where(F.col("kinds") <= hot))
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), known.where("kinds > 1").count() // TASK_RUNS + 1)
-    settled = _sorted_out(rows.repartition(tasks, "anchor").sortWithinPartitions("anchor"))
-    settled = materialize(settled, "settled")
-    found = whole.unionByName(settled)
-    if known.where(F.col("kinds") > hot).limit(1).count():
-        found = found.unionByName(materialize(_counted_out(_slices(partly.where(F.col("kinds") > hot))), "counted"))
+    rows = _slices(docs.join(partly, same).select(docs.doc_id, docs.text_hash, docs.raw, "runs"))
+    few, many = F.col("kinds") <= hot, F.col("kinds") > hot
+    some_hot = known.where(many).limit(1).count() > 0
+    if some_hot:
+        rows = materialize(rows, "slices")
+    found = whole.unionByName(materialize(_sorted_out(rows.where(few).repartition(tasks, "anchor").sortWithinPartitions("anchor")), "settled"))
+    if some_hot:
+        found = found.unionByName(materialize(_counted_out(rows.where(many)), "counted"))
     return found
 
 
@@ -268,17 +292,20 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     Exact. Every passage has an anchor (find_runs); passages in a row with one anchor are a run, about
     one for 85 bytes. Runs are fingerprinted with 128 bits: one that occurs twice is repeated from
     end to end, which settles the inside of every long copy without its bytes. What is left are runs
-    at the edges of copies: those whose anchor has other surroundings too. Their bytes are brought
-    together by anchor, and a suffix sort by hashed prefixes (suffixsort) finds how far they agree
-    to either side. An anchor with more than hot different surroundings is not sorted in one task
-    but counted passage by passage.
-
-    Null and empty texts have 0 bytes. Repeated rows are copies of each other. Empty table: no rows.
+    at the edges of copies: those whose anchor has other surroundings too. Each document cuts their
+    bytes from its one text, they are brought together by anchor, and a suffix sort by hashed prefixes
+    (suffixsort) finds how far they agree to either side, verified byte by byte. An anchor with more
+    than hot different surroundings is not sorted in one task but counted passage by passage. Digests
+    are of BLAKE2b, so equal ones stand for equal bytes.
+
+    Null and empty texts have 0 bytes. Repeated rows are copies of each other, with one id or several;
+    null ids are like any. No length of text is special. Empty table: no rows.
     """
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(raw).alias("text_hash"), raw.alias("raw"))
     found = repeated_passages(rows, hot)
-    spans = found.groupBy("doc_id", "text_hash").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
+    # a start and its count (at most PASSAGE) as one number; a set, for rows that are alike in id and text find the same
+    spans = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.col("start") * 256 + F.col("n")).alias("found"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,10 +315,9 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 removed, n, digest = 0, 0, hashlib.sha256()
                 at = 0
                 if batch[2][k].is_valid:
-                    starts = np.array(batch[2][k].as_py(), dtype=np.int64)
-                    ends = starts + np.array(batch[3][k].as_py(), dtype=np.int64) + PASSAGE - 1
-                    order = np.argsort(starts, kind="stable")
-                    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+                    pairs = np.sort(batch[2][k].values.to_numpy())
+                    starts = pairs >> 8
+                    ends = np.maximum.accumulate(starts + (pairs & 255) + PASSAGE - 1)
                     cut = np.flatnonzero(starts[1:] > ends[:-1])
                     for s, e in zip(starts[np.concatenate([[0], cut + 1])].tolist(), ends[np.concatenate([cut, [len(ends) - 1]])].tolist(), strict=True):
                         digest.update(data[at:s])
@@ -303,7 +329,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     same = rows.doc_id.eqNullSafe(spans.doc_id) & (rows.text_hash == spans.text_hash)
-    joined = rows.join(spans, same, "left").select(rows.doc_id, rows.raw, spans.starts, spans.counts)
+    joined = rows.join(spans, same, "left").select(rows.doc_id, rows.raw, spans.found)
     return joined.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

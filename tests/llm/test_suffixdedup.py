@@ -85,3 +85,28 @@ def test_odd_rows_and_empty_tables(spark):
     assert sd.remove_repeats(frame(spark, [])).count() == 0
     twice = frame(spark, [(None, "q" * 100 + "r" * 150, None, None, None)] * 2)
     assert [r.n_removed for r in sd.remove_repeats(twice).collect()] == [250, 250]
+
+
+def edited(n, every, seed):
+    """A long text and a copy that differs in one character of so many."""
+    rng = random.Random(seed)
+    text = [rng.choice("abcdefgh ") for _ in range(n)]
+    copy = list(text)
+    for i in range(0, n, every):
+        copy[i] = "#"
+    return ["".join(text), "".join(copy)]
+
+
+def test_long_edited_copies(spark):
+    texts = [*edited(150_000, 250, 4), *edited(30_000, 401, 5)]
+    assert rows_of(spark, texts) == brute(texts)
+
+
+def test_one_id_on_several_texts_and_texts_made_to_collide(spark):
+    """Thue-Morse words and their complements have one polynomial hash modulo 2**64 in any base."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), "c" * 250, "d" + "c" * 201]
+    found = sd.remove_repeats(frame(spark, [(k // 2, t, None, None, None) for k, t in enumerate(texts)])).collect()
+    assert sorted(tuple(r) for r in found) == sorted((k // 2, *x) for k, x in enumerate(brute(texts)))

@@ -63,13 +63,14 @@ def test_word_hashes_over_block_edges(monkeypatch):
     whole = minhash.word_hashes(text)
     monkeypatch.setattr(minhash, "_BLOCK", 50)
     assert (minhash.word_hashes(text) == whole).all()
-    assert len(whole) == len(text.encode().split())
+    assert whole.shape == (2, len(text.encode().split())) and len(set(whole[0].tolist())) == whole.shape[1]
     assert (minhash.word_hashes(text.encode().lower().decode()) == whole).all()
 
 
 def test_densified_bins_estimate_similarity():
     signer = minhash._Signer()
     a, b = minhash.shingle_hashes(" ".join(map(str, range(60))), 4), minhash.shingle_hashes(" ".join(map(str, range(6, 66))), 4)
+    a, b = a[0], b[0]
     exact = len(set(a) & set(b)) / len(set(a) | set(b))
     assert abs((signer.bins(a) == signer.bins(b)).mean() - exact) < 0.15
 
@@ -82,3 +83,42 @@ def test_odd_rows_and_empty_tables(spark):
     assert by[None].component_id is None and by[None].kept
     assert by[6].component_id == 5 and not by[6].kept
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_words_made_to_collide_are_not_linked(spark):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2**64 in any base."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    check(spark, {1: f"one two three {word}", 2: f"one two three {other}", 3: f"one two three {word}", 4: word[:32] + " x y z", 5: other[:32] + " x y z"}, 4)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    edited = list(words)
+    for k in range(0, len(words), 100):
+        edited[k] = "edited"
+    other = [f"v{rng.randrange(10**6)}" for _ in range(200_000)]
+    check(spark, {1: " ".join(words), 2: " ".join(edited), 3: " ".join(other), 4: "x" * 2_000_000}, 4)
+
+
+FAMILY = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+
+
+def test_ids_that_several_rows_share(spark):
+    """Decisions are on texts: an id's other text stays, of equal rows one stays, null ids come last."""
+    near = " ".join(FAMILY.split() * 8) + " end"
+    rows = [(3, FAMILY), (7, FAMILY), (7, "another text of its own with some words"), (3, FAMILY), (8, near), (9, near + " now"), (9, "third text here with words")]
+    rows += [(None, FAMILY), (None, "only under a null id and twice"), (None, "only under a null id and twice"), (2, ""), (2, "")]
+    docs = frame(spark, [(i, t, "en", f"s{k}", 0) for k, (i, t) in enumerate(rows)])
+    kept = minhash.keep_distinct(clashing(docs), words=4)
+    assert kept.columns == clashing(docs).columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    want = [(3, FAMILY), (7, rows[2][1]), (8, near), (9, rows[6][1]), (None, rows[8][1]), (2, ""), (2, "")]
+    assert got == sorted(want, key=str)
+    by = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs, words=4).collect()]
+    want = [(3, 3, True), (7, 3, False), (7, 7, True), (3, 3, True), (8, 8, True), (9, 8, False), (9, 9, True), (None, 3, False)] + [(None, None, True)] * 2 + [(2, 2, True)] * 2
+    assert sorted(by, key=str) == sorted(want, key=str)
+    assert minhash.keep_distinct(frame(spark, [])).count() == 0

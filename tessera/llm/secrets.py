@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import packed
-from .spans import find_spans
+from .spans import find_matches
 
 # The base patterns, their least lengths and their order.
 _KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -37,20 +37,40 @@ SCOPE = 200  # code points between two parts of one credential, at most
 #: Of a URL: what comes before its host if it names a user, and all up to its query.
 _USERINFO, _PLACE = r"^https?://[^/?#]*@", r"^[^?#]*"
 _FOUND = "array<struct<start: bigint, rank: int, end: bigint>>"
+BLOCK = 1024  # code points of the blocks in which a text's parts are looked up
 
 
-def _found(text: Column, kinds: tuple) -> Column:
-    """All spans of the kinds as one array of (start, rank, end), in order; null if there are none."""
-    arrays = []
-    for kind, pattern, group, tests in kinds:
-        rank = KINDS.index(kind)
-        spans = find_spans(text, pattern, group, tests)
-        arrays.append(F.coalesce(F.transform(spans, _ranked(rank)), F.array().cast(_FOUND)))
-    return F.array_sort(F.concat(*arrays))
+def _key(text: Column) -> Column:
+    return F.struct(F.xxhash64(F.lit(1), text).alias("a"), F.xxhash64(F.lit(2), text).alias("b"))
 
 
-def _ranked(rank: int):
-    return lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"))
+def _numbered(rank: int):
+    """A match with its kind, its number among that kind's, and where the place within it begins and ends."""
+
+    def of(x: Column, k: Column) -> Column:
+        low, high = F.lit(0), F.length(x["match"])
+        if KINDS[rank] == "endpoint":
+            low, high = (F.length(F.regexp_extract(x["match"], p, 0)) for p in (_USERINFO, _PLACE))
+        low, high = low.cast("long").alias("low"), high.cast("long").alias("high")
+        return F.struct(F.lit(rank).alias("rank"), k.cast("long").alias("k"), x["gap"].alias("gap"), x["len"].alias("len"), low, high, x["ok"].alias("ok"))
+
+    return of
+
+
+def _parts(docs: DataFrame) -> DataFrame:
+    """doc_id, key, start, rank, end, low, high for all matches of all kinds; [low, high) is what a part
+    stands for: of an endpoint, its host and path. Rows alike in id and text give one set of parts."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    kinds = [F.transform(find_matches(text, pattern, group, tests), _numbered(rank)) for rank, (_, pattern, group, tests) in enumerate(BASE + WEAK)]
+    # matches and key first, once a text; and an outer explode: for an inner one the optimizer searches texts once more
+    found = docs.select("doc_id", _key(text).alias("key"), F.concat(*kinds).alias("all")).select("doc_id", "key", F.explode_outer("all").alias("p"))
+    found = found.where("p IS NOT NULL").select("doc_id", "key", "p.*").distinct()
+    # dealt once, for the windows below and those of secret_spans
+    found = found.repartition("doc_id", "key")
+    order = W.partitionBy("doc_id", "key", "rank").orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = found.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(order)).where("ok")
+    start = F.col("end") - F.col("len")
+    return found.select("doc_id", "key", start.alias("start"), "rank", "end", (start + F.col("low")).alias("low"), (start + F.col("high")).alias("high"))
 
 
 def _of_rank(rank: int):
@@ -73,25 +93,15 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     base holds the base kinds' spans. found adds the weak parts that have a complementary part, weak
     or not, within scope code points. Parts become rows and an interval join pairs each with its
     nearest complements: within a document in order of position, the furthest end of a role before
-    and the next start of a role behind decide, so no more rows are made than there are parts and
-    nothing but positions is shuffled. A document's parts meet in one task, as its text did.
+    and the next start of a role behind decide, each a running value, so no more rows are made than
+    there are parts, work is linear in them but for the sort, and nothing but positions is shuffled.
+    A document's parts meet in one task, as its text did.
 
     Parts are joined by the row's doc_id and text (key), so rows that share a doc_id keep their own
-    spans. Null and empty texts have none.
+    spans; repeated rows have one result. Null and empty texts have none, of any length are searched
+    whole. Of parts at one place, both count. Empty table: no rows.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text)
-
-    def extent(s: Column) -> Column:
-        url = F.when(s["rank"] == KINDS.index("endpoint"), F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
-        low = s["start"] + F.coalesce(F.length(F.regexp_extract(url, _USERINFO, 0)), F.lit(0))
-        high = F.coalesce(s["start"] + F.length(F.regexp_extract(url, _PLACE, 0)), s["end"])
-        return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), low.alias("low"), high.alias("high"))
-
-    base, weak = (F.transform(_found(text, kinds), extent) for kinds in (BASE, WEAK))
-    scanned = docs.select(F.col("doc_id"), F.struct(key[0].alias("a"), key[1].alias("b")).alias("key"), base.alias("base"), weak.alias("weak"))
-    scanned = scanned.where((F.size("base") > 0) | (F.size("weak") > 0))
-    parts = scanned.distinct().select("doc_id", "key", F.explode(F.concat("base", "weak")).alias("p")).select("doc_id", "key", "p.*")
+    parts = _parts(docs)
     names = F.array(*[F.lit(ROLES[k]) for k in KINDS])
     parts = parts.withColumn("role", F.get(names, F.col("rank")))
 
@@ -104,8 +114,10 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     # ends come before starts at the same place: a part's start sees all that ended, its end all that is to start
     parts = parts.withColumn("begins", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("at", F.when(F.col("begins") == 1, F.col("low")).otherwise(F.col("high")))
-    order = W.partitionBy("doc_id", "key").orderBy("at", "begins", "rank")
-    before, behind = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    # both frames begin at an end of the order, for running values: what is behind comes first in the reverse
+    document = W.partitionBy("doc_id", "key")
+    before = document.orderBy("at", "begins", "rank").rowsBetween(W.unboundedPreceding, -1)
+    behind = document.orderBy(F.desc("at"), F.desc("begins"), F.desc("rank")).rowsBetween(W.unboundedPreceding, -1)
     ended, begun = (lambda r: F.when((F.col("role") == r) & (F.col("begins") == 0), F.col("at"))), (lambda r: F.when((F.col("role") == r) & (F.col("begins") == 1), F.col("at")))
     gaps = {r: (F.max(ended(r)).over(before), F.min(begun(r)).over(behind)) for r in COMPLEMENTS}
     for r, (end, start) in gaps.items():
@@ -124,10 +136,11 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """A row for each row of docs (doc_id, text): doc_id, n_assign, n_access, n_hex, n_weak,
-    base_sha256, spans. See secret_spans. Rows with null or empty text have no spans."""
+    """A row for each row of docs (doc_id, text; other columns are ignored): doc_id, n_assign, n_access,
+    n_hex, base_sha256, spans, n_weak. See secret_spans. Rows with null or empty text have no spans;
+    repeated rows have equal results, a row each. Empty table: no rows."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id"), F.struct(F.xxhash64(F.lit(1), text).alias("a"), F.xxhash64(F.lit(2), text).alias("b")).alias("key"))
+    rows = docs.select(F.col("doc_id"), _key(text).alias("key"))
     found = secret_spans(docs, scope)
     same = F.col("rows.doc_id").eqNullSafe(F.col("found.doc_id")) & (F.col("rows.key") == F.col("found.key"))
     none = F.array().cast(_FOUND)
@@ -139,33 +152,42 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         .select(
             F.col("rows.doc_id"),
             *counts,
-            (F.size(spans) - F.size(base)).cast("long").alias("n_weak"),
             F.sha2(_named(base), 256).alias("base_sha256"),
             _named(spans).alias("spans"),
+            (F.size(spans) - F.size(base)).cast("long").alias("n_weak"),
         )
     )
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[REDACTED]", scope: int = SCOPE) -> DataFrame:
     """docs with every found span replaced in text by the mark; overlapping spans become one.
-    n_chars, where docs has it, is counted anew for changed rows. Rows without spans are as they were."""
+    n_chars, where docs has it, is counted anew for changed rows. Rows without spans, with null or empty
+    texts among them, are as they were; repeated rows change alike. Empty table: no rows.
+
+    What lies between two marks is put together from blocks of BLOCK code points, cut once a text, so the
+    work is linear in the text and its spans."""
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    found = secret_spans(docs, scope).select("doc_id", "key", "found")
-    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.lit(1), text) == F.col("key.a")) & (F.xxhash64(F.lit(2), text) == F.col("key.b"))
-
-    def step(acc: Column, s: Column) -> Column:
-        """Pieces of text up to s; a span that begins inside the last one only moves its end."""
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        new = F.array_append(F.array_append(acc["pieces"], gap), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["pieces"]).alias("pieces"))
-
-    def rest(acc: Column) -> Column:
-        return F.array_join(F.array_append(acc["pieces"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))), "")
-
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("pieces"))
-    changed = F.size(F.coalesce("found", F.array().cast(_FOUND))) > 0
-    out = packed(docs).join(found, same, "left")
-    out = out.select("row", F.when(changed, F.aggregate("found", begin, step, rest)).alias("redacted"))
+    spans = secret_spans(docs, scope).where(F.size("found") > 0).select("doc_id", "key", F.explode("found").alias("s")).select("doc_id", "key", "s.start", "s.end")
+    order = W.partitionBy("doc_id", "key").orderBy("start", "end")
+    spans = spans.withColumn("reach", F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    spans = spans.withColumn("n", F.sum(F.coalesce(F.col("start") >= F.col("reach"), F.lit(True)).cast("long")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    spans = spans.groupBy("doc_id", "key", "n").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    found = spans.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("found"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (_key(text) == F.col("key"))
+
+    def part(low: Column, high: Column) -> Column:
+        """Code points [low, high) of the text."""
+        first, last = F.floor(low / BLOCK), F.floor(high / BLOCK)
+        inside = lambda b, x, n: F.substring(F.coalesce(F.get("blocks", b), F.lit("")), (x + 1).cast("int"), n.cast("int"))
+        between = F.array_join(F.slice("blocks", (first + 2).cast("int"), F.greatest(last - first - 1, F.lit(0)).cast("int")), "")
+        apart = F.concat(inside(first, low % BLOCK, F.lit(BLOCK)), between, inside(last, F.lit(0), high % BLOCK))
+        return F.when(first == last, inside(first, low % BLOCK, high - low)).otherwise(apart)
+
+    ahead = lambda k: F.coalesce(F.get("found", k - 1)["end"], F.lit(0).cast("long"))
+    pieces = F.transform("found", lambda s, k: F.concat(part(ahead(k), s["start"]), F.lit(mark)))
+    rest = part(F.element_at("found", -1)["end"], F.length(text).cast("long"))
+    out = packed(docs).join(found, same, "left").select("row", "found", F.when(F.col("found").isNotNull(), F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("blocks"))
+    out = out.select("row", F.when(F.col("found").isNotNull(), F.concat(F.array_join(pieces, ""), rest)).alias("redacted"))
     columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
     columns["text"] = F.coalesce("redacted", columns["text"])
     if "n_chars" in columns:

@@ -1,38 +1,30 @@
-"""Positions of a pattern's matches as DataFrame expressions."""
+"""Matches of a pattern as DataFrame expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPAN = "struct<start: bigint, end: bigint>"
 
+def find_matches(text: Column, pattern: str, group: int = 0, tests: tuple[str, ...] = ()) -> Column:
+    """Leftmost non-overlapping matches in order, as an array of (gap, len, match, ok): code points between
+    the last match's end and this one's start, its length, the matched string, and whether its group matches
+    all tests. Empty for a text without matches, and for null.
 
-def find_spans(text: Column, pattern: str, group: int = 0, tests: tuple[str, ...] = ()) -> Column:
-    """Leftmost non-overlapping matches as an array of (start, end) in code points, end exclusive,
-    without those whose group fails to match one of the tests. Null for a text without matches.
-
-    What lies between two matches comes from a split by the same pattern; adding up the lengths
-    of gaps and matches gives positions. Only texts with a match pay for more than a search.
+    What lies between two matches comes from a split by the same pattern. Positions are running sums of
+    gaps and lengths, which are left to a window over the matches as rows: a fold over the array would
+    copy what it has for every match. Only texts with a match pay for more than a search.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.zip_with(
-        F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole")),
-        inner,
-        lambda x, y: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["whole"]).alias("len"), y.alias("inner")),
-    )
-    parts = F.filter(parts, lambda x: x["len"].isNotNull())  # the last gap has no match
+    names = ["gap", "match", "inner"]
+    arrays = [F.split(text, pattern, -1), *(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in ((0, group) if group else (0,)))]
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["len"]
-        span = F.struct(start.alias("start"), end.alias("end"))
-        passed = F.lit(True)
+    def part(x: Column) -> Column:
+        ok = F.lit(True)
         for test in tests:
-            passed = passed & x["inner"].rlike(test)
-        kept = F.when(passed, F.array_append(acc["spans"], span)).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), kept.alias("spans"))
+            ok = ok & x["inner" if group else "match"].rlike(test)
+        return F.struct(F.length(x["gap"]).cast("long").alias("gap"), F.length(x["match"]).cast("long").alias("len"), x["match"].alias("match"), ok.alias("ok"))
 
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, begin, add, lambda acc: acc["spans"]))
+    parts = F.transform(F.arrays_zip(*[a.alias(n) for a, n in zip(arrays, names, strict=False)]), part)
+    parts = F.filter(parts, lambda x: x["len"].isNotNull())  # the last gap has no match
+    none = F.array().cast("array<struct<gap: bigint, len: bigint, match: string, ok: boolean>>")
+    return F.coalesce(F.when(text.rlike(pattern), parts), none)

@@ -67,6 +67,22 @@ def test_redaction_replaces_spans_once(spark):
     assert out[2].text == "clean" and out[2].n_chars == 5 and out[2].node == "x0"
 
 
+def test_long_texts_and_ids_that_rows_share(spark):
+    line = "é word user_id = joe at 10.1.2.3 with token = abcdef0123 and 0123456789abcdef01234567, 😀\n"
+    long = "lead " + line * 3000 + "x" * 5000
+    rows = [(1, long), (1, line), (None, line), (None, line), (None, "secret: abcdefgh"), (2, None), (2, "")]
+    docs = frame(spark, [(i, t, "en", f"s{k}", 0) for k, (i, t) in enumerate(rows)])
+    found = secrets.scan_secrets(docs).collect()
+    assert found[0].__fields__ == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_weak"]
+    want = sorted((str(i), hashlib.sha256(",".join(brute(t)).encode()).hexdigest()) for i, t in rows)
+    assert sorted((str(r.doc_id), r.base_sha256) for r in found) == want
+    assert max(r.n_weak for r in found) == 6000
+    out = {r.source: r.text for r in secrets.redact_secrets(docs).collect()}
+    marked = line.replace("user_id = joe", "#").replace("10.1.2.3", "#").replace("token = abcdef0123", "#").replace("0123456789abcdef01234567", "#").replace("#", "[REDACTED]")
+    assert out["s0"] == "lead " + marked * 3000 + "x" * 5000
+    assert out["s1"] == out["s2"] == out["s3"] == marked and out["s4"] == "[REDACTED]" and out["s5"] is None and out["s6"] == ""
+
+
 def test_odd_rows_and_empty_tables(spark):
     rows = secrets.scan_secrets(clashing(frame(spark, ODD))).collect()
     assert len(rows) == len(ODD)

@@ -1,3 +1,4 @@
+import re
 import hashlib
 import math
 import random
@@ -34,6 +35,24 @@ def test_url_rules_and_terms(spark):
     assert urlfilter.judge_urls(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_a_vocabulary_of_overlapping_terms(spark):
+    """Boundaries, terms in terms and across each other, repeated urls, long ones; against a plain search."""
+    vocabulary = [("bad", True, 0.0), ("ad", False, 1.0), ("ad-ad", False, 1.0), ("d-a", False, 1.0), ("free-ad", False, 1.5)]
+    urls = ["http://h.net/bad", "http://h.net/badly", "http://h.net/ad", "http://h.net/ad-ad", "http://h.net/x_ad?free-ad", "http://ad.net/AD", "http://h.net/bad2", "http://h.net/2ad-ad", "http://h.net/" + "q/" * 50_000 + "free-ad", None, ""]
+    urls += urls[:2]
+
+    def plain(url):
+        found = {t for t, *_ in vocabulary if re.search(rf"(?<![a-z0-9]){t}(?![a-z0-9])", (url or "").lower())}
+        soft = [w for t, s, w in vocabulary if t in found and not s]
+        return (int("bad" in found), len(soft), sum(soft), "block" if "bad" in found or (len(soft) >= 2 and sum(soft) >= 2) else "allow")
+
+    pages = spark.createDataFrame([(k, u, None) for k, u in enumerate(urls)], PAGES)
+    for given_as in (vocabulary, spark.createDataFrame(vocabulary, "term string, strict boolean, weight double")):
+        rows = urlfilter.judge_urls(pages, vocabulary=given_as).collect()
+        assert rows[0].__fields__ == ["page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft", "soft_weight"]
+        assert {r.page_id: (r.n_strict, r.n_soft, r.soft_weight, r.verdict) for r in rows} == {k: plain(u) for k, u in enumerate(urls)}
+
+
 def test_licences_are_found_in_other_spellings(spark):
     mit = next(t for i, t in licenses.KNOWN if i == "MIT")
     docs = [

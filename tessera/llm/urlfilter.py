@@ -21,7 +21,7 @@ RULES = (
 )
 # The vocabulary, by kind and weight. Terms of which one rejects:
 STRICT = (
-    "adult-x", "adultchat", "adultdating", "adultfriend", "blackjack", "camgirl", "camgirls", "camsex", "casino", "casinos",
+    "adult-x", "adultchat", "adultdating", "adultfriend", "blackjack", "camgirl", "camgirls", "camsex", "casino",
     "cialis", "clickbank", "crackz", "cumshot", "deepfake-nude", "ejaculation", "erotic", "erotica", "escort-service", "fetish",
     "freeporn", "fuck", "hardcore-sex", "hentai", "hookup", "keygen", "keygens", "levitra", "livecams", "livesex", "milf", "milfs",
     "nsfw", "nude", "nudes", "nudity", "onlinecasino", "orgasm", "orgy", "payday-loan", "payday-loans", "phentermine", "playboy",

@@ -1,7 +1,7 @@
-import re
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import descriptors, embeddings, media
 from tessera.llm.embeddings import RotatedCodes
@@ -76,15 +77,33 @@ def test_estimates_are_unbiased_and_bounded():
     y /= np.linalg.norm(y, axis=1)[:, None]
     codes = RotatedCodes(64)
     assert np.allclose(codes.rotation @ codes.rotation.T, np.eye(64))
-    _, signs, factor = codes.encode(x)
-    rotated = codes.encode(y)[0]
+    code, factor, *_ = codes.encode(x)
+    rounded = codes.encode(y)[2:]
+    assert code.shape == (500, 8)
     exact = x @ y.T
-    estimate = (signs @ rotated.T) / (8 * factor)[:, None]
+    estimate = codes.estimates(code, factor, *rounded[:2])
     assert abs((estimate - exact).mean()) < 0.005
-    some = codes.plausible(signs, factor, rotated, 0.98)
+    some = codes.plausible(code, factor, *rounded, 0.98)
     assert some[exact >= 0.98].all() and some.mean() < 0.05
 
 
+def test_a_label_spread_evenly_is_dealt_in_blocks(spark, monkeypatch):
+    """Random directions would visit nearly every cell; clustered ones stay at home. Neither loses a link."""
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 20)
+    monkeypatch.setattr(embeddings, "PART_ROWS", 150)
+    rng = np.random.default_rng(3)
+    even = rng.normal(size=(300, 24))
+    even[150:] = even[:150] + rng.normal(0, 0.1, (150, 24))
+    tight = np.repeat(rng.normal(size=(15, 24)), 20, axis=0) + rng.normal(0, 0.02, (300, 24))
+    rows = [(k, x.astype(np.float32).tolist(), int(k >= 300)) for k, x in enumerate(np.concatenate([even, tight]))]
+    df = spark.createDataFrame(rows, VECTORS)
+    unit = embeddings._unit(df, "vec_id", "embedding", "label")
+    centres = embeddings._centres(unit.withColumnRenamed("id", "node"), 0.98)
+    assert {k[0] for k in centres} == {1}
+    got = embeddings.near_embeddings(df.withColumn("node", F.lit("x")).withColumn("cell", F.lit(1)).withColumn("v", F.lit(None))).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows)
+
+
 def picture(rng):
     return descriptors.resize(rng.random((1, 12, 12)).astype(np.float32), 96, 96)[0] * 255
 

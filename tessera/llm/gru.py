@@ -36,13 +36,16 @@ def _slope(gate: np.ndarray) -> np.ndarray:
 
 
 def _run(w: dict, d: str, data: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """States after each step of one direction, [time, hidden, batch]; what backward needs, if kept."""
+    """States after each step of one direction, [time, hidden, batch], zero outside of the texts, so that a
+    text's first state follows from its first byte alone; what backward needs, if kept."""
     steps, batch = data.shape
     x, u, b = w["x" + d], w["u" + d], w["b" + d]
     n = u.shape[1]
     states = np.empty((steps, n, batch), dtype=np.float32)
     h = np.zeros((n, batch), dtype=np.float32)
     saved = []
+    real = data != PAD
+    whole = real.all(axis=1)
     for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
         a = np.take(x, data[t], axis=1, mode="clip")
         m = u @ h
@@ -59,6 +62,8 @@ def _run(w: dict, d: str, data: np.ndarray, keep: bool) -> tuple[np.ndarray, lis
         new = h - c
         new *= z
         new += c
+        if not whole[t]:
+            new *= real[t]
         if keep:
             saved.append((t, h, z, r, c, m[2 * n :]))
         h = states[t] = new
@@ -101,7 +106,7 @@ def gradients(w: dict, data: np.ndarray, labels: np.ndarray) -> tuple[float, dic
         u, carry = w["u" + d], np.zeros((n, batch), dtype=np.float32)
         one_hot = np.zeros((PAD + 1, batch), dtype=np.float32)
         for t, h, z, r, c, m in reversed(runs[d][1]):
-            dh = part[t] + carry
+            dh = (part[t] + carry) * real[t]
             dc = dh * (1 - z) * (1 - np.abs(c)) ** 2
             dz = dh * (h - c) * _slope(z)
             dr = dc * m * _slope(r)

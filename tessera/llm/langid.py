@@ -11,12 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .gru import PAD, probabilities, train
+from .scratch import materialize
 
 SAMPLE_DOCS = 240  # labelled documents of a language that training sees, at most
-MAX_LANGUAGES = 200  # the most frequent; others are not learned
+SAMPLE_TOTAL = 48_000  # of all languages, at most, but one of each: very many languages share it
 SNIPPETS, SNIPPET = 4, 64  # pieces of each, and their bytes
 HIDDEN, EPOCHS, BATCH, SEED = 8, 8, 64, 11
-CHUNK, CHUNKS = 128, 2048  # bytes that a state runs over, and chunks computed together
+CHUNK, CHUNKS = 256, 1024  # bytes whose states are kept, and chunks computed together
+LEAD = 64  # bytes before a chunk (behind it, for the backward state) that a state runs over first
 UNDETERMINED = "und"
 
 
@@ -25,20 +27,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame) -> DataFrame:
-    """lang, piece (text) of at most SAMPLE_DOCS documents of each of the MAX_LANGUAGES most frequent
-    languages, none held out: those whose texts have the smallest hashes. A language's share of rows that can be
-    among them is cut off by its count first, so no task orders more than a few times the sample."""
+    """lang, h, at, piece (text) of at most SAMPLE_DOCS documents of each language, SAMPLE_TOTAL in all, none
+    held out: those whose texts have the smallest hashes. Every language is learned. A language's share
+    of rows that can be among them is cut off by its count first, so no task orders more than a few
+    times the sample."""
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     usable = usable.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     h = F.xxhash64("text")
     # texts, not rows: of a language that is mostly copies of a few texts, those few must be found
-    counts = usable.groupBy("lang").agg(F.approx_count_distinct(h).alias("n"), F.count("*").alias("rows"))
-    counts = counts.orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES).select("lang", "n")
+    counts = materialize(usable.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")), "languages")
+    each = max(1, min(SAMPLE_DOCS, SAMPLE_TOTAL // max(1, counts.count())))
     share = (h.cast("double") / float(2**64)) + 0.5
-    few = usable.join(F.broadcast(counts), "lang").where(share <= F.lit(4.0 * SAMPLE_DOCS) / F.col("n"))
+    few = usable.join(counts, "lang").where(share <= F.lit(4.0 * each) / F.col("n"))
     # equal texts have one hash: one of them is enough, and copies cannot crowd out the rest
     picked = few.groupBy("lang", h.alias("h")).agg(F.first("text").alias("text"))
-    picked = picked.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= SAMPLE_DOCS)
+    picked = picked.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each)
     starts = F.array(*[F.pmod(F.xxhash64("h", F.lit(i)), F.greatest(F.length("text") - SNIPPET // 2, F.lit(1))) for i in range(SNIPPETS)])
     pieces = picked.withColumn("at", F.explode(starts))
     return pieces.select("lang", "h", "at", F.substring("text", (F.col("at") + 1).cast("int"), F.lit(SNIPPET)).alias("piece"))
@@ -55,33 +58,39 @@ def fit_languages(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
     for row, r in zip(data, rows, strict=True):
         raw = np.frombuffer(r["piece"].encode("utf-8", "replace")[:SNIPPET], dtype=np.uint8)
         row[: len(raw)] = raw
-    labels = np.array([languages.index(r["lang"]) for r in rows])
+    number = {x: k for k, x in enumerate(languages)}
+    labels = np.array([number[r["lang"]] for r in rows])
     return languages, train(np.ascontiguousarray(data.T), labels, len(languages), HIDDEN, EPOCHS, BATCH, SEED)
 
 
 def _pooled(weights: dict, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For each text: the mean of its positions' probabilities, and the share of positions that each
-    language labels. Texts are cut into chunks; chunks of many texts are computed side by side."""
+    language labels. Texts are cut into chunks, each with LEAD bytes of the text on both sides, over which
+    the states of either direction run before they count; chunks of many texts are computed side by side."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    chunks = np.maximum(-(-lengths // CHUNK), 0)
+    chunks = -(-lengths // CHUNK)
     owner = np.repeat(np.arange(len(texts)), chunks)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
     classes = len(weights["c"])
     pooled, labelled = np.zeros((len(texts), classes)), np.zeros((len(texts), classes))
-    joined = np.full(int(chunks.sum()) * CHUNK, PAD, dtype=np.int16)
-    at = 0
-    for t, n in zip(texts, chunks.tolist(), strict=True):
-        joined[at : at + len(t)] = np.frombuffer(t, dtype=np.uint8)
-        at += n * CHUNK
-    rows = joined.reshape(-1, CHUNK)
-    for low in range(0, len(rows), CHUNKS):
-        data = np.ascontiguousarray(rows[low : low + CHUNKS].T)
+    flat = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int16)
+    first = (np.cumsum(lengths) - lengths)[owner]
+    last = first + lengths[owner]
+    width = np.arange(-LEAD, CHUNK + LEAD)[:, None]
+    order = np.argsort(np.minimum(lengths[owner] - number * CHUNK, CHUNK + LEAD), kind="stable")  # short ones together
+    for low in range(0, len(owner), CHUNKS):
+        some = order[low : low + CHUNKS]
+        at = first[some] + number[some] * CHUNK + width
+        real = (at >= first[some]) & (at < last[some])
+        used = np.flatnonzero(real.any(axis=1))  # a batch of short texts is not run to the chunk's end
+        at, real = at[used[0] : used[-1] + 1], real[used[0] : used[-1] + 1]
+        data = np.where(real, flat[np.clip(at, 0, len(flat) - 1)], PAD)
         p = probabilities(weights, data)
-        real = data != PAD
-        top = p.max(axis=0)
-        whose = owner[low : low + CHUNKS]
+        inside = real & (width[used[0] : used[-1] + 1] >= 0) & (width[used[0] : used[-1] + 1] < CHUNK)
+        top = p.argmax(axis=0)
         for k in range(classes):
-            pooled[:, k] += np.bincount(whose, (p[k] * real).sum(axis=0), len(texts))
-            labelled[:, k] += np.bincount(whose, ((p[k] == top) & real).sum(axis=0), len(texts))
+            pooled[:, k] += np.bincount(owner[some], (p[k] * inside).sum(axis=0), len(texts))
+            labelled[:, k] += np.bincount(owner[some], ((top == k) & inside).sum(axis=0), len(texts))
     n = np.maximum(lengths, 1)[:, None]
     return pooled / n, labelled / n
 
@@ -117,7 +126,9 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
     Learned from text and lang of rows that are not held out (training_sample); predicted from every
     byte of the text alone. Each position is labelled with the languages' probabilities from the
-    states of both directions, which run over CHUNK bytes; the document's are their mean. Null texts
+    states of both directions; the document's are their mean. States run over chunks of CHUNK bytes and
+    LEAD more before them, for a state forgets what is further off (the tests hold that against states
+    that run over whole texts), so a text's length is no matter. Null texts
     and texts without a letter are und with score 0, as is every text if nothing could be learned.
     A null doc_id counts as not held out. Repeated rows get equal results. Empty table: no rows.
     """
@@ -126,6 +137,7 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least_score: float) -> DataFrame:
-    """The rows of docs, all columns, whose language is determined with at least that score. Rows
-    travel along with their text, so nothing is joined or shuffled."""
+    """The rows of docs, all columns, whose language is determined with at least that score: null and
+    empty texts and those without a letter go. Null ids are like any, repeated rows share a fate, a
+    table without rows gives none. Rows travel along with their text, so nothing is joined or shuffled."""
     return _predicted(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns])).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("row.*")

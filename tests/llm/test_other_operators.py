@@ -160,6 +160,19 @@ def test_languages_of_documents_held_out(spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_every_language_is_learned_and_long_texts_are_read_whole(spark, monkeypatch):
+    """However many there are, at least one document of each; rows that share an id are judged by text."""
+    monkeypatch.setattr(langid, "SAMPLE_TOTAL", 30)
+    rng = random.Random(6)
+    rows = [(i, words(rng, chr(97 + i % 20) * 2 + chr(98 + i % 20), 40), f"l{i % 20:02}", "s", 0) for i in range(400)]
+    sample = langid.training_sample(frame(spark, rows)).collect()
+    assert {r.lang for r in sample} == {f"l{k:02}" for k in range(20)}
+    rows = [(i, words(rng, ("aeithnsor", "aouklmvgz")[i % 2], 40), ("xx", "yy")[i % 2], "s", 0) for i in range(60)]
+    late = words(rng, "aeithnsor", 10) + " " + words(rng, "aouklmvgz", 60_000)
+    out = langid.identify_languages(frame(spark, [*rows, (7, late, None, "s", 0), (7, words(rng, "aeithnsor", 50), None, "s", 0), (None, late, None, "s", 0)])).collect()
+    assert sorted(r.lang_pred for r in out if r.doc_id == 7) == sorted(["yy", "yy", "xx"]) and next(r for r in out if r.doc_id is None).lang_pred == "yy"
+
+
 def test_languages_bear_odd_rows(spark):
     rows = langid.identify_languages(clashing(frame(spark, ODD))).collect()
     assert len(rows) == len(ODD)

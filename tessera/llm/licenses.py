@@ -88,6 +88,39 @@ WHOLE = (
              "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
              "3. This notice may not be removed or altered from any source distribution."),
 )
+# Canonical digests of long public licences: of the whole text, and where terms end before an
+# appendix on how to apply them, of the text up to "END OF TERMS AND CONDITIONS".
+DIGESTS = (
+    ("Apache-2.0", "93651fc3b3c9c21033cf07999bdb593e0138192678d4743ddf7ee126fefab052"),
+    ("Apache-2.0", "09ad3868555dada25cbf24199409a8c1e39fe8ef08d164adc6e98c1d02767793"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2-only", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3-only", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0-only", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0-only", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0-only", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0-only", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0-only", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("GPL-3.0-only", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0-only", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0-only", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1-only", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1-only", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+    "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+    "means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in "
+    "the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+    "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
+    "under copyright law. "
+)
+_UNLICENSE_AS_IS = _AS_IS.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS")
+WHOLE += tuple(("Unlicense", _UNLICENSE + _UNLICENSE_AS_IS + more) for more in ("", " For more information, please refer to <https://unlicense.org>", " For more information, please refer to <http://unlicense.org/>"))
 # Spellings that licences use for each other.
 SPELLINGS = (
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("authorisation", "authorization"), ("authorised", "authorized"),
@@ -126,22 +159,26 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, known=KNOWN + WHOLE) -> DataFrame:
-    """license_id, known_digest of a bounded list of (id, text); equal digests keep the first id by name."""
-    texts = spark.createDataFrame(list(known), "license_id string, text string")
-    return texts.groupBy(digest(F.col("text")).alias("known_digest")).agg(F.min("license_id").alias("license_id"))
+def known_digests(spark: SparkSession, known=KNOWN + WHOLE, digests=DIGESTS) -> DataFrame:
+    """license_id, known_digest of bounded lists of (id, text) and (id, digest); equal digests keep the first id by name."""
+    pair = lambda i, x: F.struct(F.lit(i).alias("license_id"), x.alias("known_digest"))
+    rows = F.array(*[pair(i, digest(F.lit(t))) for i, t in known], *[pair(i, F.lit(d)) for i, d in digests])
+    return spark.range(1).select(F.inline(rows)).groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """A row for each row of docs (doc_id, text; other columns are ignored): doc_id, digest (of the
     whole canonical text), license_id (of the known licence with that digest or, if there is none,
     with that of the text without HEAD_LINEs: titles and holders without year; or null), notices
-    (ids of the known texts that a line of the text equals, sorted, comma-joined; empty if none).
+    (ids of the known texts that a line of the text equals or, where the whole is no known licence, a block
+    between blank lines; sorted, comma-joined; empty if none). The SQL knows no blocks of several lines.
 
     Whole texts are normalised where they are read and only digests meet the known ones; that list
-    is a constant of a few rows, so it is broadcast. A table given as known is joined as Spark sees
-    fit. Null and empty texts, and texts of marks alone, have the digest of the empty text and match
-    nothing. Lines are looked up only if they have a word that notices have.
+    is a constant of a few rows, so it is broadcast. A table given as known (license_id, known_digest) is
+    joined as Spark sees fit. Null and empty texts, and texts of marks alone, have the digest of the empty
+    text and match nothing. Lines and blocks are looked up only if they have a word that notices have.
+    Rows that share an id are told apart by text; repeated rows have equal results, a row each. Texts of
+    any length are read whole. Empty table: no rows.
     """
     spark = docs.sparkSession
     known = F.broadcast(known_digests(spark)) if known is None else known
@@ -151,13 +188,19 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     bare = F.when(text.rlike(HEAD_LINE), digest(F.regexp_replace(text, HEAD_LINE, "")))
     rows = docs.select("doc_id", key.alias("key"), digest(text).alias("digest"), bare.alias("bare"))
 
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, UPPER, LOWER).rlike(_NOTICE))
-    noted = docs.where(F.translate(text, UPPER, LOWER).rlike(_NOTICE)).select("doc_id", key.alias("key"), F.explode(lines).alias("line"))
+    # a block of one line is that line; texts without a notice's word are not cut at all
+    noted = docs.where(F.translate(text, UPPER, LOWER).rlike(_NOTICE))
+    named = lambda kind: lambda x: F.struct(F.lit(kind).alias("line"), x.alias("text"))
+    lines, blocks = F.split(text, "\n"), F.filter(F.split(text, r"\n[\x20\t\r]*\n"), lambda x: x.contains("\n"))
+    parts = F.filter(F.concat(F.transform(lines, named(True)), F.transform(blocks, named(False))), lambda x: F.translate(x["text"], UPPER, LOWER).rlike(_NOTICE))
+    # the parts first, once a text; an outer explode, for an inner one makes the optimizer cut texts once more
+    noted = noted.select("doc_id", key.alias("key"), parts.alias("parts")).select("doc_id", "key", F.explode_outer("parts").alias("part")).where("part IS NOT NULL")
+    joined = lambda ids: F.array_join(F.array_sort(F.collect_set(ids)), ",")
     noted = (
-        noted.select("doc_id", "key", digest(F.col("line")).alias("known_digest"))
+        noted.select("doc_id", "key", "part.line", digest(F.col("part.text")).alias("known_digest"))
         .join(known, "known_digest")
         .groupBy("doc_id", "key")
-        .agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
+        .agg(joined(F.when(F.col("line"), F.col("license_id"))).alias("of_lines"), joined("license_id").alias("of_all"))
     )
     same = F.col("r.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("r.key") == F.col("n.key"))
     return (
@@ -165,7 +208,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         .join(known.alias("k"), F.col("r.digest") == F.col("k.known_digest"), "left")
         .join(known.alias("b"), F.col("r.bare") == F.col("b.known_digest"), "left")
         .join(noted.alias("n"), same, "left")
-        .select(F.col("r.doc_id"), F.col("r.digest"), F.coalesce("k.license_id", "b.license_id").alias("license_id"), F.coalesce("n.notices", F.lit("")).alias("notices"))
+        .withColumn("id", F.coalesce("k.license_id", "b.license_id"))
+        .select("r.doc_id", "r.digest", F.col("id").alias("license_id"), F.coalesce(F.when(F.col("id").isNull(), F.col("of_all")).otherwise(F.col("of_lines")), F.lit("")).alias("notices"))
     )
 
 

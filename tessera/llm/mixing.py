@@ -96,15 +96,18 @@ def _with_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _passes(counted: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """A row for each document and pass: the tokens before it in that pass's permutation, and chosen.
+    """A row for each doc_id of a source and pass: tokens, the tokens before it in that pass's permutation,
+    and chosen.
 
-    A permutation is the order of draws. It is dealt to buckets by draw, some thousand documents
-    each, so a source with a third of all rows is many buckets; sums of whole buckets are added up
-    first, then the documents of a bucket. Equal rows have equal draws and the same fate.
+    Rows that share a doc_id (null is one) have one draw and one fate, and are one row here, added up
+    before they meet, however many they are. A permutation is the order of draws. It is dealt to buckets by
+    draw, some thousand documents each, so a source with a third of all rows is many buckets; sums of
+    whole buckets are added up first, then the documents of a bucket.
     """
     number = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_full") - 1 + (F.col("_rest") > 0).cast("long")))
     some = (F.col("_full") > 0) | (F.col("_rest") > 0)
-    rows = _with_plan(counted, plan).where(some).withColumn("pass", number).withColumn("draw", _draw(seed, F.col("pass")))
+    keyed = counted.groupBy("source", "doc_id").agg(F.sum("tokens").alias("tokens"))
+    rows = _with_plan(keyed, plan).where(some).withColumn("pass", number).withColumn("draw", _draw(seed, F.col("pass")))
     buckets = F.floor(F.col("_n_docs") / BUCKET_DOCS) + 1
     rows = rows.withColumn("bucket", F.floor(F.col("draw").cast("double") / float(1 << 60) * buckets))
     sums = rows.groupBy("source", "pass", "bucket").agg(F.sum("tokens").alias("sum"))
@@ -132,15 +135,16 @@ def mix_schedule(
     beginning of one more. All passes of a source are laid out evenly over the blocks of about
     BLOCK_TOKENS tokens, so that each block has the weights of the whole; within a block, documents
     follow by draw. Null sources are one source; null and empty texts have no tokens and are used
-    once a pass; repeated rows are used alike. Empty table: no rows.
+    once a pass; rows that share an id within a source are used alike. Empty table: no rows.
     """
     counted = _counted(docs)
     plan = source_plan(counted, max_repeats, target_entropy, budget)
     blocks = F.greatest(F.ceil(F.lit((plan.agg(F.sum("budget")).first()[0] or 0) / BLOCK_TOKENS)), F.lit(1))
     at = (F.col("pass") * F.col("_tokens") + F.col("before")).cast("double") / F.greatest("_budget", F.lit(1)).cast("double")
     block = F.least(F.floor(at * blocks), blocks - 1).cast("long")
-    chosen = _passes(counted, plan, seed).where("chosen")
-    return chosen.select("doc_id", "source", "pass", block.alias("block"), "draw", "tokens")
+    chosen = _passes(counted, plan, seed).where("chosen").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), "pass", block.alias("block"), "draw")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s"))
+    return counted.join(chosen, same).select("doc_id", "source", "pass", "block", "draw", "tokens")
 
 
 @settled

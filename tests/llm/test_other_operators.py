@@ -3,7 +3,9 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, licenses, mixing, urlfilter
@@ -151,6 +153,47 @@ def words(rng, alphabet, n):
     return " ".join("".join(rng.choice(alphabet) for _ in range(rng.randrange(2, 9))) for _ in range(n))
 
 
+def test_whole_licences_planted_in_documents(spark):
+    """Whole texts and blocks between blank lines, by the same digest; ids that rows share; a very long text."""
+    grant = licenses._BSD_GRANT + "".join(licenses._BSD_CONDITIONS[:2]) + licenses._BSD_AS_IS
+    wrapped = lambda t: "\n".join(" ".join(t.split()[k : k + 9]) for k in range(0, len(t.split()), 9))
+    unlicense = next(t for i, t in licenses.WHOLE if i == "Unlicense")
+    docs = [
+        (1, wrapped(unlicense)),
+        (2, "Some words first.\n \n" + wrapped(grant) + "\n\nand last"),
+        (3, "word " * 400_000 + "\n\n" + wrapped(unlicense)),
+        (4, "text " + wrapped(unlicense)),
+        (5, unlicense), (5, "Released under the MIT License."), (5, "Released under the MIT License."), (None, unlicense),
+    ]
+    want = [("1", "Unlicense", ""), ("2", None, "BSD-2-Clause"), ("3", None, "Unlicense"), ("4", None, ""), ("5", "Unlicense", "Unlicense"), ("5", "MIT", "MIT"), ("5", "MIT", "MIT"), ("None", "Unlicense", "Unlicense")]
+    rows = licenses.scan_licenses(frame(spark, [(i, t, "en", "s", 0) for i, t in docs])).collect()
+    assert sorted(((str(r.doc_id), r.license_id, r.notices) for r in rows), key=str) == sorted(want, key=str)
+
+
+def test_long_licences_by_their_digests(spark):
+    folder = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2.0-only": "GPL-2", "GPL-3.0-only": "GPL-3", "LGPL-2.1-only": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
+    if not folder.is_dir():
+        pytest.skip("no licences on this machine")
+    end = "END OF TERMS AND CONDITIONS"
+    texts = [(i, (folder / n).read_text()) for i, n in names.items()]
+    texts += [(i, t.split(end)[0] + end) for i, t in texts if end in t and i != "LGPL-2.1-only"]
+    docs = frame(spark, [(k, t.upper() if k % 2 else t.replace("\n", "\n# "), "en", "s", 0) for k, (_, t) in enumerate(texts)])
+    assert {r.doc_id: r.license_id for r in licenses.scan_licenses(docs).collect()} == {k: i for k, (i, _) in enumerate(texts)}
+
+
+def test_equal_ids_and_null_ids_share_a_draw(spark):
+    """Many rows under one id are used alike, and one source's hot id leaves other rows' turns as they are."""
+    rng = random.Random(8)
+    rows = [(None, words(rng, "abc", 5), "en", "a", 0) for _ in range(500)] + [(7, words(rng, "abc", 7), "en", "b", 0) for _ in range(200)]
+    rows += [(k, words(rng, "abc", 6), "en", ("a", "b", None)[k % 3], 0) for k in range(300)]
+    out = Counter((r.doc_id, r.source, r["pass"]) for r in mixing.mix_schedule(frame(spark, rows)).collect())
+    whole = Counter((r[0], r[3]) for r in rows)
+    assert all(n == whole[i, s] for (i, s, _), n in out.items()) and {(i, s) for i, s, _ in out} == set(whole)
+    mixed = Counter((r.doc_id, r.source) for r in mixing.mix_sources(frame(spark, rows)).collect())
+    assert mixed == sum((Counter({k[:2]: n}) for k, n in out.items()), Counter())
+
+
 def test_languages_of_documents_held_out(spark):
     rng = random.Random(4)
     rows = [(i, words(rng, ("aeithnsor", "aouklmvgz")[i % 2], rng.randrange(5, 60)), ("xx", "yy")[i % 2], "s", 0) for i in range(300)]

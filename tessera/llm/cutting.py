@@ -35,8 +35,12 @@ def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[f
 def fractional_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float) -> list[tuple[np.ndarray, float]]:
     """Patterns (counts by length) and how often to use each, so that demand is met by a number of
     bins within gap of the least possible for fractional use: a linear program, solved by the
-    simplex method on an explicit inverse, in which dynamic programming prices new columns."""
+    simplex method on an explicit inverse, in which dynamic programming prices new columns.
+
+    Demands are raised by different millionths, so no two of them run out at once: every step then
+    lowers the cost, and the method cannot return to a basis it has left."""
     m = len(lengths)
+    demand = demand * (1 + 1e-6 * np.random.default_rng(m).random(m))
     columns = [np.eye(m)[i] * (capacity // lengths[i]) for i in range(m)]
     costs = np.ones(m)
     inverse = np.diag(1.0 / (capacity // lengths))

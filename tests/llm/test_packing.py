@@ -1,8 +1,11 @@
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tessera.llm import packing
 from tessera.llm.cutting import whole_patterns
@@ -82,3 +85,32 @@ def test_patterns_place_every_piece():
     bins = sum(often for _, often in patterns)
     assert bins <= 1.01 * sum(n * c for n, c in histogram.items()) / 128 + 1
     assert whole_patterns({}, 128) == []
+
+
+def test_both_encoders_agree_on_all_documents():
+    vocabulary, ranks = packing.default_paths()
+    tokenizer = packing._encoders(vocabulary, ranks)[0]
+    texts = [t or "" for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    for low in range(0, len(texts), 100):
+        for text, want in zip(texts[low:], tokenizer.encode_batch(texts[low : low + 100], add_special_tokens=False), strict=False):
+            assert packing.token_ids(text, vocabulary, ranks).tolist() == want.ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("abzAZ09 \t\n\r'’.,-_<|>endoftxs¡£ªµ·¼½×÷ÀßéøđıŁſƁǅǰɏ\xa0\u2028日\x85"), max_size=60))
+def test_both_encoders_agree_on_random_texts(text):
+    vocabulary, ranks = packing.default_paths()
+    assert packing.token_ids(text, vocabulary, ranks).tolist() == packing.token_ids(text, vocabulary).tolist()
+
+
+def test_rows_alike_are_dealt_to_many_buckets(spark, monkeypatch):
+    """Null ids and empty texts in masses, one id on several texts, a very long text."""
+    monkeypatch.setattr(packing, "BUCKET_PIECES", 64)
+    rows = [(None, None)] * 3000 + [(1, "some words")] * 50 + [(1, "other words here")] * 50 + [(2, "long " * 200_000)]
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    fill = Counter()
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill[r.sequence_id]
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 1024 and sum(fill.values()) > 0.98 * 1024 * (len(fill) - 1)
+    assert sum(r.doc_id is None for r in out) == 3000 and sum(r.length for r in out if r.doc_id == 2) == next(r.doc_tokens for r in out if r.doc_id == 2)

@@ -6,7 +6,6 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from tessera.session import ship_package, table
 
 from . import embeddings, licenses, media, mixing, secrets, suffixdedup, urlfilter
@@ -66,7 +65,6 @@ _QUERIES = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_license_scans": op10_license_scans,
-    "pipeline": corpus_pipeline.run,
 }
 
 

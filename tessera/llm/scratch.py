@@ -18,8 +18,8 @@ _SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
     # a side is broadcast if its file is small, or once its rows have been measured
-    "spark.sql.autoBroadcastJoinThreshold": "1048576",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10485760",
+    "spark.sql.autoBroadcastJoinThreshold": "262144",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "4194304",
 }
 _open = threading.local()  # paths of the tables written in each operator that is running
 

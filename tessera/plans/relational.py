@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import cosine, money, sample_skewness
 from tessera.operators.joins import asof_join, range_join
-from tessera.operators.windows import sessionize, top_k
+from tessera.operators.windows import exact_percentile, sessionize, top_k
 from tessera.session import table
-from tessera.streaming.events import count_by_window, event_stream, run_to_end
+from tessera.streaming.events import count_by_window, event_stream, first_seen, run_to_end
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -316,15 +316,44 @@ def cosine_to_first(spark: SparkSession, sf_dir: str) -> DataFrame:
            round(skewness(l_extendedprice), 6) AS skew, round(kurtosis_pop(l_quantity), 6) AS tails
     FROM lineitem GROUP BY l_returnflag""")
 def line_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+    lines = table(spark, sf_dir, "lineitem")
+    moments = lines.groupBy("l_returnflag").agg(
         F.round(F.stddev_samp("l_quantity"), 6).alias("deviation"),
         F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("correlation"),
         F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"),
-        F.median("l_quantity").alias("middle"),
-        F.percentile("l_extendedprice", F.lit(0.9)).alias("high"),
         F.round(sample_skewness("l_extendedprice"), 6).alias("skew"),
         F.round(F.kurtosis("l_quantity"), 6).alias("tails"),
     )
+    middle = exact_percentile(lines, "l_returnflag", "l_quantity", 0.5).withColumnRenamed("percentile", "middle")
+    high = exact_percentile(lines, "l_returnflag", "l_extendedprice", 0.9).withColumnRenamed("percentile", "high")
+    return moments.join(middle, "l_returnflag").join(high, "l_returnflag")
+
+
+@_query("""
+    SELECT v.event_id AS seen, p.event_id AS bought FROM events v JOIN events p
+    ON v.user_id = p.user_id AND v.event_type = 'view' AND p.event_type = 'purchase' AND v.value >= p.value AND v.value < p.value + 5""")
+def views_priced_like_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range join within an equal key."""
+    events = table(spark, sf_dir, "events")
+    views = events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("seen"), "value")
+    bought = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("bought"), F.col("value").alias("low"), (F.col("value") + 5).alias("high"))
+    return range_join(views, bought, "value", "low", "high", 5.0, ["user_id"]).select("seen", "bought")
+
+
+@_query("SELECT event_id, event_type FROM events")
+def events_once_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event once, of a stream that delivers them twice."""
+    stream = event_stream(spark, sf_dir)
+    return run_to_end(first_seen(stream.unionByName(event_stream(spark, sf_dir))), "append").select("event_id", "event_type")
+
+
+@_query("SELECT year(l_shipdate) AS year, count(DISTINCT l_partkey) AS parts, true AS sketch_is_near FROM lineitem GROUP BY 1")
+def distinct_parts_and_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts, and whether the merged sketches are within a tenth of them."""
+    exact = table(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").cast("long").alias("year")).agg(F.count_distinct("l_partkey").alias("parts"))
+    sketches = approximate_parts(spark, sf_dir).select("year", F.col("parts").alias("about"))
+    near = F.abs(F.col("about") - F.col("parts")) <= F.col("parts") * 0.1 + 2
+    return exact.join(sketches, "year").select("year", "parts", near.alias("sketch_is_near"))
 
 
 @_query(None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +30,26 @@ def first_seen(events: DataFrame) -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Everything that is there now, through the memory sink: for results as small as aggregates."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Everything that is there now, as a table that executors write in the folder they share with the
+    driver (spark.checkpoint.dir). Each batch has a folder of its own, so one that is repeated replaces itself."""
+    spark = stream.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+    path = f"{folder}/tessera/stream-{uuid.uuid4().hex}"
+    written = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number if mode == 'append' else 0}")
+        written.append(number)
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)

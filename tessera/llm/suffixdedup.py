@@ -17,7 +17,7 @@ from .suffixsort import sort_rows
 PASSAGE = 200  # bytes
 GRAM = 32  # bytes of an anchor
 BLOCK = 1 << 18  # bytes hashed together, about
-HOT = 1_000  # an anchor with more different surroundings is counted passage by passage, in all tasks
+HOT = 20_000  # an anchor with more different surroundings is counted passage by passage, in all tasks
 SORTED = 4_000  # runs sorted together, about
 TASK_RUNS = 50_000
 SLICES = 1 << 22  # bytes of slices, or passages times their length, in one batch

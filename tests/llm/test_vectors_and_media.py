@@ -129,6 +129,35 @@ def test_copies_of_images_are_found(spark):
     assert sum(not r.kept for r in copies) >= 0.9 * len(copies)
 
 
+def test_many_copies_of_few_images_against_all_pairs(spark, monkeypatch):
+    """Families of 24, so most share buckets with more images than there are centres."""
+    monkeypatch.setattr(media, "WHOLE_ROUNDS", 3)
+    rng = np.random.default_rng(8)
+    images = []
+    for _ in range(2):
+        p = picture(rng)
+        for _ in range(24):
+            top, left = rng.integers(0, 13, 2)
+            images.append(np.clip(p[top : top + 84, left : left + 84] * rng.uniform(0.8, 1.1) + rng.normal(0, 3, (84, 84)), 0, 255).astype(np.uint8))
+    found = descriptors.describe(np.stack(images))
+    component = list(range(len(images)))
+    for b in range(len(images)):
+        for a in range(b):
+            if component[a] != component[b] and descriptors.inliers(found[a], found[b]) >= descriptors.MIN_INLIERS:
+                low, high = sorted((component[a], component[b]))
+                component = [low if c == high else c for c in component]
+    merges = len(images) - len(set(component))
+    assert merges >= 40
+    rows = [(k, descriptors.write_pgm(i)) for k, i in enumerate(images)]
+    df = spark.createDataFrame(rows, "media_id long, image binary")
+    for c in ("a", "node", "table", "key", "digest", "component"):
+        df = df.withColumn(c, F.lit("x"))
+    for centres in (media.CENTRES, None):
+        got = {r.media_id: r.component_id for r in media.near_media(df, centres).collect()}
+        assert all(component[k] == component[c] for k, c in got.items())
+        assert len(images) - len(set(got.values())) >= 0.9 * merges
+
+
 def test_images_that_cannot_link(spark):
     flat = descriptors.write_pgm(np.full((40, 40), 7))
     rows = [(1, None), (2, b""), (3, b"P5\n9"), (4, b"JPEG"), (5, flat), (6, flat), (None, flat), (7, descriptors.write_pgm(np.zeros((1, 3)))), (7, None)]

@@ -7,29 +7,46 @@ import numpy as np
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
+SPARE, KEPT = 60, 4096  # patterns of one knapsack program, and of the latest ones together
+LEAST_GAIN = 1e-3  # of a kept pattern's worth over its cost, below which pricing is done anew
 
-def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The multiset of lengths within capacity that is worth most: its worth, and counts by length."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(lengths)
-    lens, worth = lengths[order], prices[order]
-    ends = np.searchsorted(lens, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        n = ends[c]
-        best[c] = best[c - 1]
-        if n:
-            values = best[c - lens[:n]] + worth[:n]
-            k = values.argmax()
-            if values[k] > best[c] + 1e-12:
-                best[c], last[c] = values[k], k
-    counts, c = np.zeros(len(lengths)), capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            counts[order[last[c]]] += 1
-            c -= lens[last[c]]
-    return float(best[capacity]), counts
+
+def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int, several: int = 1) -> tuple[float, np.ndarray]:
+    """The multiset of lengths within capacity that is worth most: its worth, and its counts by length
+    as the first row; then rows of the best ones that hold a given length, for the most promising lengths.
+
+    One pass for each length: within a residue class of sizes, using k pieces more is a running maximum."""
+    after = np.zeros((len(lengths) + 1, capacity + 1))  # worth by size with the first i lengths
+    for i, (n, worth) in enumerate(zip(lengths.tolist(), prices.tolist(), strict=True)):
+        best = after[i + 1]
+        best[:] = after[i]
+        if worth <= 0:
+            continue
+        if 2 * n > capacity:
+            np.maximum(after[i, n:], after[i, :-n] + worth, out=best[n:])
+            continue
+        rows = capacity // n + 1
+        grid = np.full(rows * n, -np.inf)
+        grid[: capacity + 1] = after[i]
+        grid = grid.reshape(rows, n)
+        paid = (worth * np.arange(rows))[:, None]
+        best[:] = (np.maximum.accumulate(grid - paid, axis=0) + paid).ravel()[: capacity + 1]
+
+    def counts(c: int) -> np.ndarray:
+        out = np.zeros(len(lengths))
+        for i in range(len(lengths) - 1, -1, -1):
+            while after[i + 1, c] > after[i, c] + 1e-12:
+                out[i] += 1
+                c -= int(lengths[i])
+        return out
+
+    rows = [counts(capacity)]
+    if several > 1:
+        holding = prices + after[-1, capacity - lengths]
+        for i in np.argsort(-holding, kind="stable")[: several - 1].tolist():
+            rows.append(counts(capacity - int(lengths[i])))
+            rows[-1][i] += 1
+    return float(after[-1, capacity]), np.unique(np.array(rows), axis=0) if several > 1 else np.array(rows)
 
 
 def fractional_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float) -> list[tuple[np.ndarray, float]]:
@@ -38,7 +55,8 @@ def fractional_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int,
     simplex method on an explicit inverse, in which dynamic programming prices new columns.
 
     Demands are raised by different millionths, so no two of them run out at once: every step then
-    lowers the cost, and the method cannot return to a basis it has left."""
+    lowers the cost, and the method cannot return to a basis it has left. Pricing keeps SPARE patterns
+    of each program it solves, and the next is solved only when none of those kept is worth a step."""
     m = len(lengths)
     demand = demand * (1 + 1e-6 * np.random.default_rng(m).random(m))
     columns = [np.eye(m)[i] * (capacity // lengths[i]) for i in range(m)]
@@ -46,18 +64,23 @@ def fractional_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int,
     inverse = np.diag(1.0 / (capacity // lengths))
     x = demand / (capacity // lengths)
     bound = float(demand @ lengths) / capacity
+    kept = np.zeros((0, m))
     while True:
         y = costs @ inverse
         low = int(y.argmin())
         if y[low] < -1e-9:  # meeting more than the demand of that length saves bins
             column, cost = -np.eye(m)[low], 0.0
         else:
-            worth, column = _knapsack(lengths, np.maximum(y, 0), capacity)
-            cost = 1.0
-            total = float(costs @ x)
-            bound = max(bound, total / max(worth, 1.0))
-            if worth <= 1 + 1e-9 or total - bound <= gap * total:
-                break
+            cost, worths = 1.0, kept @ y
+            if not len(kept) or worths.max() <= 1 + LEAST_GAIN:
+                worth, found = _knapsack(lengths, np.maximum(y, 0), capacity, SPARE)
+                total = float(costs @ x)
+                bound = max(bound, total / max(worth, 1.0))
+                if worth <= 1 + 1e-9 or total - bound <= gap * total:
+                    break
+                kept = np.concatenate([kept, found])[-KEPT:]
+                worths = kept @ y
+            column = kept[worths.argmax()]
         u = inverse @ column
         ratios = np.where(u > 1e-9, x / np.where(u > 1e-9, u, 1), np.inf)
         r = int(ratios.argmin())

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import packing
-from tessera.llm.cutting import whole_patterns
+from tessera.llm.cutting import _knapsack, whole_patterns
 
 from .helpers import ODD, clashing, frame
 
@@ -114,3 +114,17 @@ def test_rows_alike_are_dealt_to_many_buckets(spark, monkeypatch):
         fill[r.sequence_id] += r.length
     assert max(fill.values()) <= 1024 and sum(fill.values()) > 0.98 * 1024 * (len(fill) - 1)
     assert sum(r.doc_id is None for r in out) == 3000 and sum(r.length for r in out if r.doc_id == 2) == next(r.doc_tokens for r in out if r.doc_id == 2)
+
+
+def test_knapsack_against_all_sizes():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        capacity = int(rng.integers(5, 40))
+        lengths = np.sort(rng.choice(np.arange(1, capacity + 1), rng.integers(1, min(6, capacity) + 1), replace=False))[::-1]
+        prices = rng.random(len(lengths)) * (rng.random(len(lengths)) > 0.2)
+        best = [0.0]
+        for c in range(1, capacity + 1):
+            best.append(max([best[-1]] + [best[c - n] + w for n, w in zip(lengths.tolist(), prices.tolist(), strict=True) if n <= c]))
+        worth, patterns = _knapsack(lengths, prices, capacity, 4)
+        assert worth == pytest.approx(best[-1]) and (patterns @ prices).max() == pytest.approx(worth)
+        assert (patterns @ lengths <= capacity).all()

@@ -158,6 +158,33 @@ def test_many_copies_of_few_images_against_all_pairs(spark, monkeypatch):
         assert len(images) - len(set(got.values())) >= 0.9 * merges
 
 
+def test_strong_crops_and_other_sizes(spark):
+    """Halves, quarters, a turned quarter, both sizes; pictures of 192 pixels, and one beyond MOST_SIDE."""
+    rng = np.random.default_rng(11)
+    rows, family = [], []
+    for k in range(12):
+        p = descriptors.resize(rng.random((1, 24, 24)).astype(np.float32), 192, 192)[0] * 255
+        sizes = [descriptors.resize(p[None], n, n)[0] for n in (96, 384)]
+        for image in (p, p[10:146, 40:176], p[60:156, 30:126], np.rot90(p[60:156, 30:126]), *sizes):
+            rows.append((len(rows), descriptors.write_pgm(np.rint(image))))
+            family.append(k)
+    wide = descriptors.resize(rng.random((1, 30, 50)).astype(np.float32), 600, 1000)[0] * 255
+    for image in (wide, wide[100:500, 200:700]):
+        rows.append((len(rows), descriptors.write_pgm(np.rint(image))))
+        family.append(12)
+    got = media.near_media(spark.createDataFrame(rows, "media_id long, image binary")).collect()
+    assert all(family[r.media_id] == family[r.component_id] for r in got)
+    assert sum(not r.kept for r in got) >= 0.95 * (len(rows) - 13)
+
+
+def test_large_unrelated_images_do_not_link():
+    rng = np.random.default_rng(12)
+    images = [np.rint(descriptors.resize(rng.random((1, 24, 24)).astype(np.float32), 512, 512)) * 255 for _ in range(2)]
+    images += [descriptors.resize(rng.random((1, 64, 64)).astype(np.float32), 512, 512) * 255 for _ in range(3)]
+    found = [descriptors.describe(np.rint(i).astype(np.uint8))[0] for i in images]
+    assert all(descriptors.inliers(found[a], found[b]) == 0 for a in range(5) for b in range(a))
+
+
 def test_images_that_cannot_link(spark):
     flat = descriptors.write_pgm(np.full((40, 40), 7))
     rows = [(1, None), (2, b""), (3, b"P5\n9"), (4, b"JPEG"), (5, flat), (6, flat), (None, flat), (7, descriptors.write_pgm(np.zeros((1, 3)))), (7, None)]

@@ -279,7 +279,6 @@ def _links(groups: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, si
     return rows.mapInArrow(link, "a long, b long")
 
 
-@settled
 def assign_groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """For each row of docs: doc_id, t_a, t_b (text_key), n_shingles, and, for texts with words, component_id
     (smallest doc_id that links reach) and first (doc_id and text key of the row that stands for the group:
@@ -333,6 +332,7 @@ def assign_groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     )
 
 
+@settled
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; others ignored).
 
@@ -358,16 +358,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     return found.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+@settled
+def decisions(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """doc_id, t_a, t_b and stays, for the documents that go and for those of which there are equal rows."""
+    found = assign_groups(docs, words, similarity).where("n_shingles > 0")
+    is_first = F.col("first").eqNullSafe(F.struct(*_KEY))
+    return found.groupBy(*_KEY).agg(F.count("*").alias("n"), F.bool_or(is_first).alias("stays")).where("NOT stays OR n > 1").drop("n")
+
+
 def keep_distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, without near duplicates: one row of each group stays, the one with
     the smallest doc_id (nulls last; of several texts under one id, any one of them, always the same), and
     of rows alike in id and text one, whichever. Rows without words are linked with nothing and all stay.
     Decisions are carried by id and text, so a text whose id also stands on another's copy is judged on
     its own. Empty table: no rows."""
-    found = assign_groups(docs, words, similarity).where("n_shingles > 0")
-    is_first = F.col("first").eqNullSafe(F.struct(*_KEY))
-    # only rows that go, or that have an equal, are looked up
-    marked = found.groupBy(*_KEY).agg(F.count("*").alias("n"), F.bool_or(is_first).alias("stays")).where("NOT stays OR n > 1").drop("n")
+    marked = decisions(docs, words, similarity)
     rows = packed(docs).withColumns(dict(zip(_KEY, (F.col("row.doc_id").cast("long"), *text_key(F.col("row.text").cast("string"))), strict=True)))
     looked = rows.join(marked, _same_row(rows, marked), "left").select(*[rows[c] for c in _KEY], "row", "stays")
     once = looked.where("stays IS NULL").select("row.*")

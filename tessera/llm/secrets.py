@@ -23,10 +23,12 @@ BASE = (
 )
 
 # Weak parts: alone they are no finding. An identifier says whose credential, a secret what, an endpoint where.
+# Repeats are of single characters only: a regex engine takes those in a loop, and each character once, where a
+# repeated group would cost a frame of the stack. A run of digits and dots is taken whole; the test finds addresses.
 WEAK = (
     ("identifier", r"(?:[Cc]lient|[Uu]ser|[Aa]ccount|[Aa]ccess)[_-]?(?:[Ii]d|[Nn]ame|[Kk]ey)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@+-]+", 0, ()),
     ("material", r"[0-9A-Za-z+/_-]{20,}", 0, ("[0-9]", "[A-Z]", "[a-z]")),
-    ("endpoint", r"https?://[^\x20\x09-\x0D\"'<>]+|[0-9]+(?:\.[0-9]+)+(?::[0-9]+)?", 0, (r"^https?://|^[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?$",)),
+    ("endpoint", r"https?://[^\x20\x09-\x0D\"'<>]+|[0-9](?:[0-9.]*[0-9])?(?::[0-9]+)?", 0, (r"^https?://|^[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?$",)),
 )
 KINDS = tuple(k for k, *_ in BASE + WEAK)
 ROLES = {"assign": "secret", "hex": "secret", "material": "secret", "access": "identifier", "identifier": "identifier", "endpoint": "endpoint"}
@@ -88,7 +90,7 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Only disjoint parts complement each other. An endpoint stands for its host and path, in which no
     material counts, so a long URL alone is no finding; user names before and queries behind are parts
-    of their own. The SQL lets parts overlap; the two differ on such texts alone.
+    of their own.
 
     base holds the base kinds' spans. found adds the weak parts that have a complementary part, weak
     or not, within scope code points. Parts become rows and an interval join pairs each with its
@@ -199,11 +201,12 @@ def redact_secrets(docs: DataFrame, mark: str = "[REDACTED]", scope: int = SCOPE
 def _oracle() -> str:
     """The same rows in DuckDB's SQL, by positions from gaps and matches, and a plain pairing of parts."""
     selects = []
-    for rank, (_, pattern, group, tests) in enumerate(BASE + WEAK):
+    for rank, (kind, pattern, group, tests) in enumerate(BASE + WEAK):
         p = "'" + pattern.replace("'", "''") + "'"
         kept = " AND ".join(["true", *(f"regexp_matches(i, '{t}')" for t in tests)])
+        low, high = (f"length(regexp_extract(m, '{x}'))" if kind == "endpoint" else y for x, y in ((_USERINFO, "0"), (_PLACE, "length(m)")))
         selects.append(f"""
-            SELECT doc_id, {rank} AS rank, stop - length(m) AS start, stop AS "end" FROM (
+            SELECT doc_id, {rank} AS rank, stop - length(m) AS start, stop AS "end", stop - length(m) + {low} AS low, stop - length(m) + {high} AS high FROM (
                 SELECT doc_id, i, m, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM (
                     SELECT doc_id, unnest(string_split_regex(text, {p})) AS g, unnest(regexp_extract_all(text, {p})) AS m,
                            unnest(regexp_extract_all(text, {p}, {group})) AS i, generate_subscripts(string_split_regex(text, {p}), 1) AS k
@@ -212,13 +215,16 @@ def _oracle() -> str:
     roles = ", ".join(f"({i}, '{k}', '{ROLES[k]}')" for i, k in enumerate(KINDS))
     wanted = ", ".join(f"('{r}', '{o}')" for r, others in COMPLEMENTS.items() for o in others)
     return f"""
-        WITH parts AS MATERIALIZED ({" UNION ALL ".join(selects)}),
+        WITH everything AS MATERIALIZED ({" UNION ALL ".join(selects)}),
+        parts AS (
+            SELECT * FROM everything x WHERE rank <> {KINDS.index("material")} OR NOT EXISTS (
+                SELECT 1 FROM everything y WHERE y.doc_id = x.doc_id AND y.rank = {KINDS.index("endpoint")} AND y.start <= x.start AND x."end" > y.low AND x."end" <= y.high)),
         roles(rank, kind, role) AS (VALUES {roles}), wanted(role, other) AS (VALUES {wanted}),
         named AS MATERIALIZED (SELECT p.*, kind, role FROM parts p JOIN roles USING (rank)),
         found AS (
             SELECT *, kind || ':' || CAST(start AS BIGINT) || ':' || CAST("end" AS BIGINT) AS s FROM named x WHERE rank < {len(BASE)} OR EXISTS (
                 SELECT 1 FROM named y JOIN wanted w ON y.role = w.other
-                WHERE y.doc_id = x.doc_id AND w.role = x.role AND y.start - x."end" <= {SCOPE} AND x.start - y."end" <= {SCOPE})),
+                WHERE y.doc_id = x.doc_id AND w.role = x.role AND (y.low - x.high BETWEEN 0 AND {SCOPE} OR x.low - y.high BETWEEN 0 AND {SCOPE}))),
         summed AS (
             SELECT doc_id, {", ".join(f"count(*) FILTER (rank = {r}) AS n_{KINDS[r]}" for r in range(len(BASE)))},
                    count(*) FILTER (rank >= {len(BASE)}) AS n_weak,

@@ -1,7 +1,11 @@
 import hashlib
 import random
 import re
+import time
 
+import duckdb
+import pyarrow
+import pyarrow.parquet
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -99,3 +103,39 @@ def test_patterns_for_spark_and_for_the_plain_search_agree(text):
         plain = next(x for x in BASE if x[0] == kind)
         want = [m.span() for m in plain[1].finditer(text) if plain[2](m)]
         assert [m.span() for m in re.finditer(pattern, text) if all(re.search(t, m[group]) for t in tests)] == want
+
+
+def test_long_runs_of_digits_and_dots(spark):
+    """They cost what as many letters do: no stack, no running back."""
+
+    def seconds(texts):
+        docs = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+        began = time.perf_counter()
+        spans = {r.doc_id: r.spans for r in secrets.scan_secrets(docs).collect()}
+        out = {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}
+        assert all(out[i] == t for i, t in enumerate(texts) if not spans[i])
+        return spans, time.perf_counter() - began
+
+    n = 1_000_000
+    seconds(["warm up 10.0.0.1"])
+    _, letters = seconds(["ab" * n, "a" * n])
+    spans, took = seconds(["1." * n + "1", "1" * n])
+    assert took < 2 * letters + 5
+    assert spans[0] == "" and [s.split(":")[0] for s in spans[1].split(",")] == ["hex"]
+    text = "user_id = joe of 10.1.2.3. token = abcdef0123"
+    assert "endpoint:17:25" in seconds([text])[0][0]
+
+
+def test_sql_and_query_agree_on_overlapping_parts(spark, tmp_path):
+    """The SQL over texts that the given tables lack: parts within parts, and endpoints with users and queries."""
+    rng = random.Random(5)
+    more = ["https://u:Abc123Abc123Abc123Abc123@h/", "?sig=", "Abc123" * 5, "/", "https://example.org/wiki/Category2024_Archive", "1.2.3.4.", " " * 90]
+    texts = ["".join(rng.choice(PARTS + more) for _ in range(rng.randrange(12))) for _ in range(500)]
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    pyarrow.parquet.write_table(pyarrow.table({"doc_id": range(len(texts)), "text": texts}), tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, spans, n_weak FROM ({secrets.ORACLE_SQL})").fetchall()}
+    got = {r.doc_id: (r.spans, r.n_weak) for r in secrets.scan_secrets(docs).collect()}
+    assert sum(n for _, n in got.values()) > 100
+    assert got == want

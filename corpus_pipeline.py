@@ -8,7 +8,7 @@ from tessera.llm.langid import keep_identified
 from tessera.llm.minhash import keep_distinct
 from tessera.llm.mixing import mix_sources
 from tessera.llm.packing import pack_documents
-from tessera.llm.scratch import materialize
+from tessera.llm.scratch import materialize, settled
 from tessera.llm.secrets import redact_secrets
 from tessera.session import ship_package, table
 
@@ -58,8 +58,10 @@ STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("secret_sca
 ORACLE_SQL = None
 
 
+@settled
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each but the last written as a table and read again."""
+    """All stages over documents, each but the last written as a table and read again. When the last one's rows
+    are written, the tables before them go."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

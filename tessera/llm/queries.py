@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import ship_package, table
 
-from . import embeddings, licenses, media, merkle, mixing, secrets, suffixdedup, urlfilter
+from . import embeddings, licenses, media, merkle, mixing, resampling, secrets, suffixdedup, urlfilter
 from .langid import identify_languages
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -54,6 +54,10 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(table(spark, sf_dir, "documents"), merkle.without_newlines_where_even())
 
@@ -69,6 +73,7 @@ _QUERIES = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_license_scans": op10_license_scans,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -91,6 +96,7 @@ ORACLE_SQL = {
     "op6_embedding_near_dedup": embeddings.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
     "op10_license_scans": licenses.ORACLE_SQL,
+    "op12_importance_resampling": resampling.ORACLE_SQL,
     "op13_merkle_manifest": merkle.ORACLE_SQL,
     "op7_minhash_near_dedup": r"""
         WITH RECURSIVE words AS (

@@ -11,6 +11,7 @@ from tessera.session import ship_package, table
 from . import embeddings, licenses, media, merkle, mixing, resampling, secrets, suffixdedup, urlfilter
 from .langid import identify_languages
 from .minhash import near_duplicates
+from .neighbours import nearest
 from .packing import pack_documents
 
 
@@ -54,6 +55,10 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,6 +78,7 @@ _QUERIES = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_license_scans": op10_license_scans,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_merkle_manifest": op13_merkle_manifest,
 }

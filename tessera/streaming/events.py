@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import table
+from tessera.session import shared_folder, table
 
 
 def event_stream(spark: SparkSession, sf_dir: str, watermark: str = "1 hour") -> DataFrame:
@@ -33,12 +32,7 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     """Everything that is there now, as a table that executors write in the folder they share with the
     driver (spark.checkpoint.dir). Each batch has a folder of its own, so one that is repeated replaces itself."""
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-    path = f"{folder}/tessera/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tessera/stream-{uuid.uuid4().hex}"
     written = []
 
     def write(batch: DataFrame, number: int) -> None:

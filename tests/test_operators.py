@@ -1,10 +1,12 @@
+import math
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import cosine, dot
-from tessera.operators.joins import asof_join, range_join, salted_join
-from tessera.operators.windows import sessionize, top_k
+from tessera.operators.joins import _place, asof_join, quantile_bounds, range_join, salted_join
+from tessera.operators.windows import exact_percentile, sessionize, top_k
 from tessera.sources.files import read_table, write_table
 from tessera.streaming.events import count_by_window, first_seen, run_to_end
 
@@ -18,6 +20,49 @@ def test_asof_takes_ties_and_leaves_nulls(spark):
     assert got == {1: 11, 2: None, 3: None, 4: None, 5: None}
 
 
+def test_asof_of_one_hot_key_is_many_tasks(spark):
+    rng = random.Random(1)
+    when = lambda: rng.choice([T0, T0 + timedelta(seconds=rng.randrange(500))])  # noqa: E731  a third of all times is one
+    left = [(rng.choice(["hot"] * 9 + ["cold", "alone", None]), rng.choice([None] + [when()] * 30), i) for i in range(700)]
+    right = [(rng.choice(["hot"] * 9 + ["cold", None]), rng.choice([None] + [when()] * 30), rng.choice([None, i])) for i in range(300)]
+    want = {}
+    for k, t, i in left:
+        before = [(s, v is not None, v or 0, v) for key, s, v in right if key == k and k and s and t and s <= t]
+        want[i] = max(before)[3] if before else None
+    for kind in ("timestamp", "timestamp_ntz", "long"):
+        cast = F.col("t").cast("timestamp").cast(kind)
+        a = spark.createDataFrame(left, "k string, t timestamp, i int").withColumn("t", cast)
+        b = spark.createDataFrame(right, "k string, u timestamp, v int").withColumn("u", F.col("u").cast("timestamp").cast(kind))
+        for ranges in (1, 2, 16, 200):
+            got = asof_join(a, b, "k", "t", "u", ["v"], ranges).collect()
+            assert len(got) == len(left) and {r.i: r.asof_v for r in got} == want, (kind, ranges)
+    places = a.select(_place(F.col("t"), quantile_bounds(a, 16), False).alias("p")).groupBy("p").count().collect()
+    assert len(places) > 8
+    assert asof_join(a.limit(0), b, "k", "t", "u", ["v"]).count() == 0
+    assert asof_join(a, b.limit(0), "k", "t", "u", ["v"]).where("asof_v IS NULL").count() == len(left)
+
+
+def test_exact_percentiles_in_rounds(spark):
+    rng = random.Random(2)
+    nan = float("nan")
+    groups = {"even": list(range(1000)), "ties": [7] * 900 + list(range(50)), "two": [1, 2], "one": [5], None: [3] * 30 + [4] * 31, "wild": [rng.gauss(0, 1e9) for _ in range(777)]}
+    groups |= {"nans": [1.0, 2.0] + [nan] * 3}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("even", None), ("empty", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, x double")
+    for share in (0.0, 0.5, 0.9, 1.0):
+        want = {}
+        for g, xs in groups.items():
+            xs, at = sorted(map(float, xs), key=lambda x: (math.isnan(x), x)), (len(xs) - 1) * share
+            a, b = xs[math.floor(at)], xs[math.ceil(at)]
+            want[g] = a if a == b or math.floor(at) == math.ceil(at) else (math.ceil(at) - at) * a + (at - math.floor(at)) * b
+        for few, grid in ((50_000, 256), (20, 8), (0, 4)) if share == 0.5 else ((20, 8),):
+            got = {r.g: r.percentile for r in exact_percentile(df, "g", "x", share, few, grid).collect()}
+            assert got.keys() == want.keys()
+            assert all(math.isclose(got[g], x, rel_tol=1e-12) or math.isnan(got[g]) and math.isnan(x) for g, x in want.items()), (share, few)
+    assert exact_percentile(df.limit(0), "g", "x", 0.5).count() == 0
+
+
 def test_range_join_equals_a_loop(spark):
     points = [(k, k * 0.37 - 9) for k in range(80)]
     ranges = [(k, k * 0.9 - 12, k * 0.9 - 12 + (k % 7)) for k in range(30)]

@@ -14,6 +14,7 @@ from tessera.operators.joins import asof_join, range_join
 from tessera.operators.windows import exact_percentile, sessionize, top_k
 from tessera.session import table
 from tessera.streaming.events import count_by_window, event_stream, first_seen, run_to_end
+from tessera.streaming.sessions import sessions_by_silence, sessions_to_outcome
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -347,6 +348,32 @@ def events_once_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(first_seen(stream.unionByName(event_stream(spark, sf_dir))), "append").select("event_id", "event_type")
 
 
+@_query("""
+    WITH marked AS (
+        SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE, true) AS new FROM events),
+    numbered AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM marked)
+    SELECT user_id, min(ts) AS began, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM numbered GROUP BY user_id, session
+    HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session windows of a stream: those that are over by its watermark, an hour before its last event."""
+    found = run_to_end(sessions_by_silence(event_stream(spark, sf_dir), "user_id", "ts", "30 minutes"), "append")
+    return found.select("user_id", F.col("began").cast("timestamp_ntz").alias("began"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")
+
+
+@_query("""
+    WITH marked AS (
+        SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(event_type) OVER w = 'purchase', true) AS new
+        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    numbered AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM marked),
+    whole AS (SELECT user_id, min(ts) AS began, max(ts) AS last, count(*) AS n, bool_or(event_type = 'purchase') AS by_outcome FROM numbered GROUP BY user_id, session)
+    SELECT * FROM whole WHERE last + CASE WHEN by_outcome THEN INTERVAL 0 MINUTE ELSE INTERVAL 30 MINUTE END <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def purchase_sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a stream that a purchase or silence has ended, by state and timers of their own."""
+    stream = event_stream(spark, sf_dir)
+    found = run_to_end(sessions_to_outcome(stream, "user_id", "ts", "event_type", "event_id", 1800, "purchase"), "append", rocksdb=True)
+    return found.select("user_id", F.col("began").cast("timestamp_ntz").alias("began"), F.col("last").cast("timestamp_ntz").alias("last"), "n", "by_outcome")
+
+
 @_query("SELECT year(l_shipdate) AS year, count(DISTINCT l_partkey) AS parts, true AS sketch_is_near FROM lineitem GROUP BY 1")
 def distinct_parts_and_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact counts, and whether the merged sketches are within a tenth of them."""

@@ -28,9 +28,14 @@ def first_seen(events: DataFrame) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(["event_id"])
 
 
-def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_end(stream: DataFrame, mode: str, rocksdb: bool = False) -> DataFrame:
     """Everything that is there now, as a table that executors write in the folder they share with the
-    driver (spark.checkpoint.dir). Each batch has a folder of its own, so one that is repeated replaces itself."""
+    driver (spark.checkpoint.dir). Each batch has a folder of its own, so one that is repeated replaces itself.
+    rocksdb: state is kept by RocksDB, as operators with state of their own need."""
     spark = stream.sparkSession
     path = f"{shared_folder(spark)}/tessera/stream-{uuid.uuid4().hex}"
     written = []
@@ -39,11 +44,15 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{path}/{number if mode == 'append' else 0}")
         written.append(number)
 
+    before = spark.conf.get(_PROVIDER)
+    if rocksdb:
+        spark.conf.set(_PROVIDER, _ROCKSDB)
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
+        spark.conf.set(_PROVIDER, before)
     if not written:
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)

@@ -9,6 +9,7 @@ from tessera.operators.joins import _place, asof_join, quantile_bounds, range_jo
 from tessera.operators.windows import exact_percentile, sessionize, top_k
 from tessera.sources.files import read_table, write_table
 from tessera.streaming.events import count_by_window, first_seen, run_to_end
+from tessera.streaming.sessions import sessions_by_silence, sessions_to_outcome
 
 T0 = datetime(2024, 1, 1)
 
@@ -119,3 +120,37 @@ def test_late_events_are_dropped_and_repeats_counted_once(spark, tmp_path):
     again = stream_of(spark, str(tmp_path / "again"), batches, schema).withWatermark("ts", "1 hour")
     seen = [r.event_id for r in run_to_end(first_seen(again), "append").collect()]
     assert sorted(seen) == [1, 2, 4, 5]
+
+
+def test_late_events_merge_sessions_and_too_late_ones_go(spark, tmp_path):
+    at = lambda m: T0 + timedelta(minutes=m)
+    # u: 0 and 50 are two sessions until 25 connects them; at 500 both are over; 10 comes too late
+    batches = [[("u", at(0))], [("u", at(50))], [("u", at(25)), ("v", at(40))], [("w", at(500))], [("w", at(505))], [("u", at(10))], [("w", at(900))]]
+    stream = stream_of(spark, str(tmp_path / "in"), batches, "u string, ts timestamp").withWatermark("ts", "1 hour")
+    got = {(r.u, r.began, r.ended, r.n) for r in run_to_end(sessions_by_silence(stream, "u", "ts", "30 minutes"), "append").collect()}
+    assert got == {("u", at(0), at(80), 3), ("v", at(40), at(70), 1), ("w", at(500), at(535), 2)}
+    table = spark.createDataFrame([x for b in batches for x in b], "u string, ts timestamp")
+    assert sessions_by_silence(table, "u", "ts", "30 minutes").count() == 4
+
+
+def test_sessions_to_an_outcome_and_their_state(spark, tmp_path):
+    at = lambda m: T0 + timedelta(minutes=m)
+    schema = "number long, u string, ts timestamp, kind string"
+    batches = [
+        [(1, "u", at(5), "view"), (2, "u", at(0), "view")],
+        [(3, "u", at(20), "buy"), (4, "u", at(10), "view"), (5, "u", at(21), "view"), (6, "v", at(30), "view"), (7, None, at(30), "view")],
+        [(8, "w", at(300), "view")],
+        [(12, "w", at(305), "view")],  # what is late is known from the batch before
+        [(9, "u", at(22), "buy"), (10, "w", at(310), "buy")],  # 9 is too late
+        [(11, "x", at(900), "view")],
+    ]
+    stream = stream_of(spark, str(tmp_path / "in"), batches, schema).withWatermark("ts", "1 hour")
+    found = run_to_end(sessions_to_outcome(stream, "u", "ts", "kind", "number", 1800, "buy"), "append", rocksdb=True)
+    got = {(r.u, r.began, r["last"], r.n, r.by_outcome) for r in found.collect()}
+    want = {("u", at(0), at(20), 4, True), ("u", at(21), at(21), 1, False), ("v", at(30), at(30), 1, False), ("w", at(300), at(310), 3, True)}
+    assert got == want
+    # what is over has left neither state nor timers: x alone is there
+    folder = found.inputFiles()[0].rsplit("/", 2)[0].removeprefix("file://") + "-state"
+    for name in ("waiting", "open"):
+        rows = spark.read.format("statestore").option("stateVarName", name).load(folder)
+        assert {r.key.by for r in rows.select("key").collect()} == ({"x"} if name == "waiting" else set())

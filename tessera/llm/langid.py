@@ -14,10 +14,12 @@ from .gru import PAD, probabilities, train
 from .scratch import materialize
 
 SAMPLE_DOCS = 240  # labelled documents of a language that training sees, at most
-SAMPLE_TOTAL = 48_000  # of all languages, at most, but one of each: very many languages share it
+SAMPLE_TOTAL = 48_000  # of all languages, at most: very many languages share it
 SNIPPETS, SNIPPET = 4, 64  # pieces of each, and their bytes
 HIDDEN, EPOCHS, BATCH, SEED = 8, 8, 64, 11
-CHUNK, CHUNKS = 256, 1024  # bytes whose states are kept, and chunks computed together
+MOST_LANGUAGES = 5_000  # with more distinct values, lang is hardly a language
+CHUNK, CHUNKS = 256, 1024  # bytes whose states are kept, and chunks computed together, at most
+WIDTH = 8_192  # chunks times languages computed together, at most
 LEAD = 64  # bytes before a chunk (behind it, for the backward state) that a state runs over first
 UNDETERMINED = "und"
 
@@ -36,7 +38,10 @@ def training_sample(docs: DataFrame) -> DataFrame:
     h = F.xxhash64("text")
     # texts, not rows: of a language that is mostly copies of a few texts, those few must be found
     counts = materialize(usable.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")), "languages")
-    each = max(1, min(SAMPLE_DOCS, SAMPLE_TOTAL // max(1, counts.count())))
+    languages = counts.count()
+    if languages > MOST_LANGUAGES:
+        raise ValueError(f"lang has {languages} values; at most {MOST_LANGUAGES} languages can be told apart")
+    each = max(1, min(SAMPLE_DOCS, SAMPLE_TOTAL // max(1, languages)))
     share = (h.cast("double") / float(2**64)) + 0.5
     few = usable.join(counts, "lang").where(share <= F.lit(4.0 * each) / F.col("n"))
     # equal texts have one hash: one of them is enough, and copies cannot crowd out the rest
@@ -78,8 +83,9 @@ def _pooled(weights: dict, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     last = first + lengths[owner]
     width = np.arange(-LEAD, CHUNK + LEAD)[:, None]
     order = np.argsort(np.minimum(lengths[owner] - number * CHUNK, CHUNK + LEAD), kind="stable")  # short ones together
-    for low in range(0, len(owner), CHUNKS):
-        some = order[low : low + CHUNKS]
+    together = max(1, min(CHUNKS, WIDTH // classes))
+    for low in range(0, len(owner), together):
+        some = order[low : low + together]
         at = first[some] + number[some] * CHUNK + width
         real = (at >= first[some]) & (at < last[some])
         used = np.flatnonzero(real.any(axis=1))  # a batch of short texts is not run to the chunk's end
@@ -130,6 +136,8 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     LEAD more before them, for a state forgets what is further off (the tests hold that against states
     that run over whole texts), so a text's length is no matter. Null texts
     and texts without a letter are und with score 0, as is every text if nothing could be learned.
+    More than MOST_LANGUAGES values of lang are an error, for the driver learns from a sample of each. Chunks computed
+    together are fewer the more languages there are, so a task's memory does not grow with them.
     A null doc_id counts as not held out. Repeated rows get equal results. Empty table: no rows.
     """
     carried = F.struct(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"))

@@ -97,7 +97,7 @@ def _counter(terms):
                 for end, term in automaton.iter(text or "") if terms else ():
                     if not _is_word(text, end - len(term)) and not _is_word(text, end + 1):
                         hits.add(term)
-                found = sorted(hits & set(soft))
+                found = sorted(t for t in hits if t in soft)
                 out.append((len(hits & strict), len(found), float(sum(soft[t] for t in found))))
             hits = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
             columns = [batch.column(c) for c in ("page_id", "host", "path")]

@@ -1,7 +1,12 @@
+import tracemalloc
+
 import numpy as np
+import pytest
 
 from tessera.llm import gru, langid
 
+from .helpers import frame
+
 
 def test_gradients_agree_with_differences():
     rng = np.random.default_rng(0)
@@ -74,3 +79,23 @@ def test_pooled_labels_equal_those_of_a_naive_recurrence(monkeypatch):
                 close = 1e-4 if len(text) <= langid.CHUNK else 1e-3
                 assert np.abs(pooled[k] - p.mean(axis=0)).max() < close
                 assert np.abs(labelled[k] - np.bincount(p.argmax(axis=1), minlength=3) / len(text)).max() <= (1e-9 if len(text) <= langid.CHUNK else 2e-3)
+
+
+def test_memory_does_not_grow_with_languages():
+    text = [b"some words of a text " * 13_000]
+    peaks = {}
+    for classes in (4, 200):
+        w = gru.initial_weights(classes, langid.HIDDEN, 1)
+        tracemalloc.start()
+        pooled, _ = langid._pooled(w, text)
+        peaks[classes] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.isclose(pooled.sum(), 1, atol=1e-3)
+    assert peaks[200] < 150e6, peaks
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    docs = frame(spark, [(4 * k, "a text of letters", f"l{k % 5}", "s", 0) for k in range(40)])
+    with pytest.raises(ValueError, match="5 values"):
+        langid.fit_languages(docs)

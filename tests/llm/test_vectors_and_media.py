@@ -1,4 +1,8 @@
+import tracemalloc
+
+import duckdb
 import numpy as np
+import pyarrow.parquet
 from pyspark.sql import functions as F
 
 from tessera.llm import descriptors, embeddings, media
@@ -193,3 +197,33 @@ def test_images_that_cannot_link(spark):
     assert media.near_media(spark.createDataFrame([], "media_id long, image binary")).count() == 0
     drawn = media.draw_embeddings(spark.createDataFrame([(1, [1.0, 2.0], 1), (2, None, 1), (3, [float("nan")], 1)], VECTORS)).collect()
     assert [r.image is None for r in drawn] == [False, True, True]
+
+
+def test_long_numbers_and_narrow_images_are_borne(spark):
+    digits = b"P5\n" + b"9" * 5000 + b" 3\n255\nabc"
+    assert descriptors.read_pgm(digits) is None and descriptors.read_pgm(b"P5 1 1 " + b"0" * 5000) is None
+    line = np.arange(4_000_000, dtype=np.uint8)
+    images = [descriptors.write_pgm(line[None, :]), descriptors.write_pgm(line[:, None]), digits]
+    tracemalloc.start()
+    for raw in images[:2]:
+        descriptors.describe(descriptors.read_pgm(raw)[None])
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    df = spark.createDataFrame(list(enumerate(map(bytearray, images))), "media_id long, image binary")
+    assert {(r.media_id, r.n_points, r.component_id) for r in media.near_media(df).collect()} == {(k, 0, k) for k in range(3)}
+
+
+def test_planted_copies_equal_the_sql(spark, tmp_path):
+    """The given tables have no two vectors this near, so their SQL alone would show no link."""
+    rows = [r for r in vectors(7, 300) if all(r[1])]
+    x = np.array([v for _, v, _ in rows], dtype=np.float32)
+    cosine = (x.astype(float) @ x.astype(float).T) / np.outer(*[np.linalg.norm(x.astype(float), axis=1)] * 2)
+    assert (np.abs(cosine - 0.98) > 1e-9).all() and (np.triu(cosine, 1) >= 0.98).sum() > 50
+    df = spark.createDataFrame(rows, VECTORS)
+    pyarrow.parquet.write_table(df.toArrow(), tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({embeddings.ORACLE_SQL})").fetchall()
+    more = df.select("*", *[F.lit("x").alias(c) for c in ("node", "v", "n", "id", "cell", "times", "home", "least", "component")])
+    got = embeddings.near_embeddings(more).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and sum(r[1] for r in want) > 50

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,13 @@ def sample_skewness(column: str) -> Column:
     """Skewness with the sample correction; Spark's own is the population's."""
     n = F.count(column).cast("double")
     return F.when(n > 2, F.skewness(column) * F.sqrt(n * (n - 1)) / (n - 2))
+
+
+def variant_path(json: str, path: str, kind: str) -> Column:
+    """What is at a path of a JSON text, as a type; null where the text is none, or nothing of that type is there."""
+    return F.try_variant_get(F.try_parse_json(json), path, kind)
+
+
+def gathered_schema(df: DataFrame, json: str) -> str:
+    """The schema that all JSON texts of a column have in common: one row, merged from partitions' schemas."""
+    return df.agg(F.schema_of_variant_agg(F.try_parse_json(json)).alias("kind")).first()["kind"]

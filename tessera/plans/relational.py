@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import cosine, money, sample_skewness
+from tessera.functions.columns import cosine, gathered_schema, money, sample_skewness, variant_path
+from tessera.operators.graphs import reached
+from tessera.operators.inequality import inequality_join
 from tessera.operators.joins import asof_join, range_join
-from tessera.operators.windows import exact_percentile, sessionize, top_k
-from tessera.session import table
+from tessera.operators.windows import exact_percentile, sessionize, stratified_sample, top_k
+from tessera.session import table, write_shared
 from tessera.streaming.events import count_by_window, event_stream, first_seen, run_to_end
 from tessera.streaming.sessions import sessions_by_silence, sessions_to_outcome
 
@@ -374,6 +376,91 @@ def purchase_sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", F.col("began").cast("timestamp_ntz").alias("began"), F.col("last").cast("timestamp_ntz").alias("last"), "n", "by_outcome")
 
 
+@_query("""
+    WITH marked AS (
+        SELECT *, coalesce(epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER w)) > 1800, true) AS new
+        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    numbered AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM marked),
+    sessions AS (SELECT user_id, min(ts) AS began, max(ts) AS ended FROM numbered GROUP BY user_id, session)
+    SELECT x.user_id AS a_user, x.began AS a_began, y.user_id AS b_user, y.began AS b_began
+    FROM sessions x JOIN sessions y ON x.began < y.ended AND x.ended > y.began AND x.user_id < y.user_id""")
+def sessions_at_one_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of users' sessions that overlap: a join on two inequalities."""
+    sessions = sessionize(table(spark, sf_dir, "events"), "user_id", "ts", 1800).groupBy("user_id", "session").agg(F.min("ts").alias("began"), F.max("ts").alias("ended"))
+    a, b = (sessions.select(F.col("user_id").alias(f"{x}_user"), F.col("began").alias(f"{x}_began"), F.col("ended").alias(f"{x}_ended")) for x in "ab")
+    pairs = inequality_join(a, b, ("a_began", "<", "b_ended"), ("a_ended", ">", "b_began"))
+    return pairs.where("a_user < b_user").select("a_user", "a_began", "b_user", "b_began")
+
+
+@_query("""
+    SELECT o_orderkey, l_partkey, l_suppkey, l_extendedprice FROM orders, LATERAL (
+        SELECT l_partkey, l_suppkey, l_extendedprice FROM lineitem WHERE l_orderkey = o_orderkey
+        ORDER BY l_extendedprice DESC, l_partkey, l_suppkey LIMIT 3) WHERE o_totalprice > 100000""")
+def largest_lines_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three largest lines of each large order: a subquery that is correlated with every row, which Catalyst turns into a join and a rank."""
+    orders = table(spark, sf_dir, "orders").where("o_totalprice > 100000").select("o_orderkey")
+    lines = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") == F.col("o_orderkey").outer())
+    lines = lines.orderBy(F.desc("l_extendedprice"), "l_partkey", "l_suppkey").limit(3)
+    return orders.lateralJoin(lines.select("l_partkey", "l_suppkey", "l_extendedprice"))
+
+
+@_query("""
+    WITH RECURSIVE bought AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 48),
+    shared AS (SELECT DISTINCT x.c AS a, y.c AS b FROM bought x JOIN bought y ON x.p = y.p AND x.c <> y.c),
+    reach(c, steps) AS (
+        SELECT min(c), 0 FROM bought UNION
+        SELECT b, steps + 1 FROM reach JOIN shared ON reach.c = a WHERE steps < 4)
+    SELECT c AS custkey, min(steps)::BIGINT AS steps FROM reach GROUP BY c""")
+def customers_reached_over_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers within four steps of the first one; a step leads to who bought much of the same part. Parts are nodes between
+    customers, so no pairs of a part's buyers are made."""
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 48").select("l_orderkey", "l_partkey")
+    bought = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    bought = write_shared(bought.select((F.col("o_custkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct(), "bought")
+    edges = bought.unionByName(bought.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    found = reached(bought.agg(F.min("src").alias("node")), edges, 8).where("node % 2 = 0")
+    return found.select((F.col("node") / 2).cast("long").alias("custkey"), (F.col("steps") / 2).cast("long").alias("steps"))
+
+
+@_query("""
+    SELECT l_returnflag, n_both, true AS sketch_is_near FROM (
+        SELECT l_returnflag, count(DISTINCT l_partkey) AS n_both FROM lineitem x
+        WHERE EXISTS (SELECT 1 FROM lineitem y WHERE y.l_partkey = x.l_partkey AND y.l_returnflag <> x.l_returnflag AND y.l_quantity > 40) GROUP BY 1)""")
+def parts_in_several_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of each flag that also have a large line of another one: exact, and whether theta sketches, united over the other
+    flags and intersected with the flag's own, are within a tenth of all parts of it."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey", "l_quantity")
+    own = lines.select("l_returnflag", "l_partkey").distinct()
+    large = lines.where("l_quantity > 40").groupBy("l_partkey").agg(F.collect_set("l_returnflag").alias("flags"))  # a few flags
+    other = F.size(F.array_remove("flags", F.col("l_returnflag"))) > 0
+    exact = own.join(large, "l_partkey", "left").groupBy("l_returnflag").agg(F.count_if(other).alias("n_both"), F.count("*").alias("n"))
+    sketches = lines.groupBy("l_returnflag").agg(F.theta_sketch_agg("l_partkey").alias("own"), F.theta_sketch_agg(F.when(F.col("l_quantity") > 40, F.col("l_partkey"))).alias("large"))
+    every = F.collect_list(F.struct("l_returnflag", "large")).over(W.partitionBy(F.lit(0)))  # a row for each flag
+    rest = F.filter("every", lambda x: x["l_returnflag"] != F.col("l_returnflag"))
+    united = F.aggregate(rest, F.lit(None).cast("binary"), lambda acc, x: F.coalesce(F.theta_union(acc, x["large"]), x["large"]))
+    about = sketches.withColumn("every", every).select("l_returnflag", F.theta_sketch_estimate(F.theta_intersection("own", united)).alias("about"))
+    near = F.abs(F.col("about") - F.col("n_both")) <= F.col("n") * 0.1 + 2
+    return exact.join(about, "l_returnflag").where("n_both > 0").select("l_returnflag", "n_both", near.alias("sketch_is_near"))
+
+
+@_query("""
+    SELECT o_orderpriority, o_orderkey FROM (
+        SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) AS k FROM orders) WHERE k <= 50""")
+def orders_sampled_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty orders of each priority: an exact stratified sample, by the smallest digests of keys."""
+    return stratified_sample(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderkey", 50).select("o_orderpriority", "o_orderkey")
+
+
+@_query("""
+    SELECT event_type, json_extract_string(props, '$.k')::BIGINT AS k, count(*) AS n, (SELECT 'OBJECT<k: BIGINT>') AS kind
+    FROM events GROUP BY 1, 2""")
+def events_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by a typed path of their semi-structured properties, and the schema of all of these."""
+    events = table(spark, sf_dir, "events").select("event_type", "props")
+    counts = events.groupBy("event_type", variant_path("props", "$.k", "bigint").alias("k")).agg(F.count("*").alias("n"))
+    return counts.withColumn("kind", F.lit(gathered_schema(events, "props")))
+
+
 @_query("SELECT year(l_shipdate) AS year, count(DISTINCT l_partkey) AS parts, true AS sketch_is_near FROM lineitem GROUP BY 1")
 def distinct_parts_and_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact counts, and whether the merged sketches are within a tenth of them."""

@@ -1,12 +1,18 @@
+import hashlib
 import math
+import operator
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import cosine, dot
-from tessera.operators.joins import _place, asof_join, quantile_bounds, range_join, salted_join
-from tessera.operators.windows import exact_percentile, sessionize, top_k
+from tessera.functions.columns import cosine, dot, gathered_schema, variant_path
+from tessera.operators.graphs import reached
+from tessera.operators.inequality import SortedRuns, inequality_join
+from tessera.operators.joins import asof_join, place_among, quantile_bounds, range_join, salted_join
+from tessera.operators.windows import exact_percentile, sessionize, stratified_sample, top_k
 from tessera.sources.files import read_table, write_table
 from tessera.streaming.events import count_by_window, first_seen, run_to_end
 from tessera.streaming.sessions import sessions_by_silence, sessions_to_outcome
@@ -37,7 +43,7 @@ def test_asof_of_one_hot_key_is_many_tasks(spark):
         for ranges in (1, 2, 16, 200):
             got = asof_join(a, b, "k", "t", "u", ["v"], ranges).collect()
             assert len(got) == len(left) and {r.i: r.asof_v for r in got} == want, (kind, ranges)
-    places = a.select(_place(F.col("t"), quantile_bounds(a, 16), False).alias("p")).groupBy("p").count().collect()
+    places = a.select(place_among(F.col("t"), quantile_bounds(a, 16), False).alias("p")).groupBy("p").count().collect()
     assert len(places) > 8
     assert asof_join(a.limit(0), b, "k", "t", "u", ["v"]).count() == 0
     assert asof_join(a, b.limit(0), "k", "t", "u", ["v"]).where("asof_v IS NULL").count() == len(left)
@@ -83,6 +89,18 @@ def test_sessions_and_top_k(spark):
     rows = [("u", T0 + timedelta(seconds=s)) for s in (0, 10, 10, 100, 105)]
     got = [r.session for r in sessionize(spark.createDataFrame(rows, "u string, t timestamp"), "u", "t", 30).orderBy("t").collect()]
     assert got == [1, 1, 1, 2, 2]
+    rng = random.Random(8)
+    rows = [(k, rng.choice(["hot"] * 9 + ["cold", None]), T0 + timedelta(seconds=rng.choice([rng.randrange(9000), 300]))) for k in range(400)]
+    want, last = {}, {}
+    for k, u, t in sorted(rows, key=lambda r: r[2]):
+        before, number = last.get(u, (None, 0))
+        want[k] = number + (before is None or (t - before).total_seconds() > 30)
+        last[u] = t, want[k]
+    df = spark.createDataFrame(rows, "k int, u string, t timestamp")
+    for ranges in (1, 3, 64):
+        got = sessionize(df, "u", "t", 30, ranges).collect()
+        assert {r.k: r.session for r in got} == want and len(got) == 400
+    assert sessionize(df.limit(0), "u", "t", 30).count() == 0
     df = spark.createDataFrame([("a", k) for k in range(40)] + [("b", 1)], "g string, v int")
     got = sorted((r.g, r.v, r["rank"]) for r in top_k(df, ["g"], [F.desc("v")], 2).collect())
     assert got == [("a", 38, 2), ("a", 39, 1), ("b", 1, 1)]
@@ -154,3 +172,82 @@ def test_sessions_to_an_outcome_and_their_state(spark, tmp_path):
     for name in ("waiting", "open"):
         rows = spark.read.format("statestore").option("stateVarName", name).load(folder)
         assert {r.key.by for r in rows.select("key").collect()} == ({"x"} if name == "waiting" else set())
+
+
+@pytest.mark.parametrize("ops", [("<", ">"), ("<=", "<"), (">", ">="), (">=", "<=")])
+def test_inequality_join_equals_a_loop(spark, ops):
+    rng = random.Random(4)
+    nan = float("nan")
+    draw = lambda: rng.choice([None, nan, 5.0] + [rng.randrange(30) / 2 for _ in range(20)])
+    left, right = ([(k, draw(), rng.choice([None, 3] + [rng.randrange(20) for _ in range(9)])) for k in range(n)] for n in (300, 230))
+    left += [(300, 5.0, 3)] * 80  # rows that are alike, more than a block holds
+    l = spark.createDataFrame(left, "i int, a double, c int")  # noqa: E741
+    r = spark.createDataFrame(right, "j int, b double, d int").withColumn("d", F.col("d").cast("long"))
+    tests = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+    rank = lambda x: (math.isnan(x), 0 if math.isnan(x) else x)
+    want = sorted((i, j) for i, a, c in left for j, b, d in right if None not in (a, b, c, d) and tests[ops[0]](rank(a), rank(b)) and tests[ops[1]](c, d))
+    for block in (16_384, 20):
+        out = inequality_join(l, r, ("a", ops[0], "b"), ("c", ops[1], "d"), block)
+        assert out.columns == ["i", "a", "c", "j", "b", "d"]
+        assert sorted((x.i, x.j) for x in out.collect()) == want
+        assert "NestedLoop" not in out._jdf.queryExecution().toString() and "Cartesian" not in out._jdf.queryExecution().toString()
+    assert inequality_join(l.limit(0), r, ("a", ops[0], "b"), ("c", ops[1], "d")).count() == 0
+    assert inequality_join(l, r.limit(0), ("a", ops[0], "b"), ("c", ops[1], "d")).count() == 0
+
+
+def test_sorted_runs_find_what_is_below():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 7, 64, 100):
+        values, starts, limits = rng.integers(0, 20, n), rng.integers(0, n + 1, 50), rng.integers(0, 25, 50)
+        got = [(i, j) for rows, places in SortedRuns(values).below(starts, limits) for i, j in zip(rows, places, strict=True)]
+        assert sorted(got) == [(i, j) for i in range(50) for j in range(starts[i], n) if values[j] < limits[i]]
+
+
+def test_nodes_reached_in_fewest_steps(spark):
+    rng = random.Random(7)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(70)] + [(1, 2), (2, 3), (3, 1), (1, 1), (None, 4), (4, None)] + [(200, k) for k in range(300, 340)]
+    starts = [1, 1, 77, None, 200]
+    want, frontier = {s: 0 for s in starts if s is not None}, {1, 77, 200}
+    while frontier:
+        frontier = {b for a, b in edges if a in frontier and b is not None} - want.keys()
+        want |= dict.fromkeys(frontier, max(want.values()) + 1)
+    e = spark.createDataFrame(edges, "src int, dst int")
+    s = spark.createDataFrame([(x,) for x in starts], "node int")
+    for most in (None, 0, 2):
+        got = reached(s, e, most).collect()
+        assert {r.node: r.steps for r in got} == {n: k for n, k in want.items() if most is None or k <= most} and len(got) == len({r.node for r in got})
+    assert reached(s.limit(0), e).count() == 0
+
+
+def test_stratified_samples_are_the_smallest_digests(spark):
+    rows = [(k % 3 if k % 7 else None, k if k % 50 else None, f"x{k}") for k in range(400)] + [(0, 5, "again")] * 3
+    df = spark.createDataFrame(rows, "g int, i int, s string")
+    digest = lambda i: hashlib.md5(f"seed{'' if i is None else i}".encode()).hexdigest()
+    want = []
+    for g in (None, 0, 1, 2):
+        want += sorted((r for r in rows if r[0] == g), key=lambda r: (digest(r[1]), r[2]))[:20]
+    got = stratified_sample(df, ["g"], "i", 20, "seed").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert stratified_sample(df, ["g"], "i", 1000).count() == len(rows) and stratified_sample(df.limit(0), ["g"], "i", 3).count() == 0
+
+
+def test_variants_keep_nested_values_and_gather_a_schema(spark):
+    texts = ['{"a": {"b": [1, {"c": "x"}]}, "k": 1}', '{"k": 2.5}', '{"a": null, "k": "z"}', None, "[]", "17"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(variant_path("t", "$.a.b[1].c", "string").alias("c"), variant_path("t", "$.k", "double").alias("k"), "t")
+    assert [(r.c, r.k) for r in df.collect()] == [("x", 1.0), (None, 2.5)] + [(None, None)] * 4
+    kind = gathered_schema(df.where("t LIKE '{%'"), "t")
+    assert kind == "OBJECT<a: OBJECT<b: ARRAY<VARIANT>>, k: VARIANT>"
+
+
+def test_theta_sketches_intersect_and_unite(spark):
+    df = spark.range(60_000).selectExpr("id", "id % 2 = 0 AS even", "id % 3 = 0 AS third")
+    one, two = (df.where(c).agg(F.theta_sketch_agg("id").alias(c)) for c in ("even", "third"))
+    row = one.join(two).select(F.theta_sketch_estimate(F.theta_intersection("even", "third")), F.theta_sketch_estimate(F.theta_union("even", "third"))).first()
+    assert abs(row[0] - 10_000) < 1_000 and abs(row[1] - 40_000) < 2_000
+
+
+def test_lateral_takes_the_first_rows_of_each(spark):
+    left = spark.createDataFrame([(1,), (2,), (3,), (1,)], "a int")
+    right = spark.createDataFrame([(k % 3, k) for k in range(12)] + [(None, 99)], "b int, v int")
+    inner = right.where(F.col("b") == F.col("a").outer()).orderBy(F.desc("v")).limit(2).select("v")
+    assert sorted((r.a, r.v) for r in left.lateralJoin(inner).collect()) == sorted([(1, 10), (1, 7)] * 2 + [(2, 11), (2, 8)])

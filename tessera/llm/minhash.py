@@ -187,13 +187,14 @@ def _star_groups(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _unit_groups(units: DataFrame, large: DataFrame) -> DataFrame:
     """Groups in which the nodes of large units that are outside the unit's component are held against all:
-    all nodes are dealt to blocks, those outside once more, and every pair of one block of each kind is a
-    group, so a group's size has a bound (a single text aside) and a hot unit becomes many groups."""
-    dealt = units.join(large, "unit").withColumn("block", _block("node", F.col("n_all")))
-    blocks = F.explode(F.sequence(F.lit(0).cast("long"), _blocks(F.col("n_all")) - 1))
+    all nodes are dealt to blocks (i), those outside to blocks of their own (j), and every pair of one block of each kind is a
+    group, so a group's size has a bound (a single text aside) and a hot unit becomes many groups. A text goes to as many
+    groups as there are blocks of the other kind: where few are outside, all others go to one."""
+    dealt = units.join(large, "unit")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), _blocks(F.col(c)) - 1))
     columns = ["unit", "node", "component"]
-    every = dealt.select(*columns, F.lit(False).alias("outside"), F.col("block").alias("i"), blocks.alias("j"))
-    outside = dealt.where("component != unit").select(*columns, F.lit(True).alias("outside"), blocks.alias("i"), F.col("block").alias("j"))
+    every = dealt.select(*columns, F.lit(False).alias("outside"), _block("node", F.col("n_all")).alias("i"), upto("n_out").alias("j"))
+    outside = dealt.where("component != unit").select(*columns, F.lit(True).alias("outside"), upto("n_all").alias("i"), _block("node", F.col("n_out")).alias("j"))
     return every.unionByName(outside).select(*_GROUP)
 
 
@@ -316,7 +317,7 @@ def assign_groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     of = of.join(mixed, "band").select(F.col("main").alias("unit"), "node", "component").distinct()
     units = materialize(of.join(sketches, "node"), "units")
     rest = F.col("component") != F.col("unit")
-    sizes = units.groupBy("unit").agg(F.count("*").alias("n"), F.sum(rest.cast("long")).alias("n_rest"), F.sum("n_shingles").alias("n_all"))
+    sizes = units.groupBy("unit").agg(F.count("*").alias("n"), F.sum(rest.cast("long")).alias("n_rest"), F.sum("n_shingles").alias("n_all"), F.sum(F.when(rest, F.col("n_shingles"))).alias("n_out"))
     small = F.col("n").cast("double") * F.col("n_rest") <= PAIRS
     pairs = _unit_pairs(units, sizes.where(small), similarity).join(star, ["a", "b"], "left_anti")
     groups = _star_groups(materialize(pairs, "pairs"), nodes).unionByName(_unit_groups(units, sizes.where(~small)))

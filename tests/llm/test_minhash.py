@@ -122,3 +122,13 @@ def test_ids_that_several_rows_share(spark):
     want = [(3, 3, True), (7, 3, False), (7, 7, True), (3, 3, True), (8, 8, True), (9, 8, False), (9, 9, True), (None, 3, False)] + [(None, None, True)] * 2 + [(2, 2, True)] * 2
     assert sorted(by, key=str) == sorted(want, key=str)
     assert minhash.keep_distinct(frame(spark, [])).count() == 0
+
+
+def test_texts_of_a_large_unit_go_to_few_groups(spark, monkeypatch):
+    """Of a unit of many blocks with one node outside, each text goes to one group, and that node to all."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 100)
+    units = spark.createDataFrame([(1, k, 1 if k < 60 else 60, 50) for k in range(1, 61)], "unit long, node long, component long, n_shingles long")
+    large = spark.createDataFrame([(1, 60 * 50, 50)], "unit long, n_all long, n_out long")
+    rows = minhash._unit_groups(units, large).collect()
+    assert sum(not r.outside for r in rows) == 60 and sum(r.outside for r in rows) == 30
+    assert {r.i for r in rows if r.outside} == set(range(30)) and {r.j for r in rows} == {0}

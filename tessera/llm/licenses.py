@@ -171,7 +171,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     whole canonical text), license_id (of the known licence with that digest or, if there is none,
     with that of the text without HEAD_LINEs: titles and holders without year; or null), notices
     (ids of the known texts that a line of the text equals or, where the whole is no known licence, a block
-    between blank lines; sorted, comma-joined; empty if none). The SQL knows no blocks of several lines.
+    between blank lines; sorted, comma-joined; empty if none).
 
     Whole texts are normalised where they are read and only digests meet the known ones; that list
     is a constant of a few rows, so it is broadcast. A table given as known (license_id, known_digest) is
@@ -223,18 +223,30 @@ def _canonical_sql(x: str) -> str:
 
 
 def _oracle() -> str:
-    rows = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
-    return f"""
-        WITH known AS (
-            SELECT min(id) AS license_id, sha256({_canonical_sql("t")}) AS known_digest FROM (VALUES {rows}) AS v(id, t) GROUP BY 2),
-        whole AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM documents),
-        lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    texts = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in KNOWN + WHOLE)
+    digests = ", ".join(f"({quoted(i)}, {quoted(d)})" for i, d in DIGESTS)
+    noted = lambda x: f"regexp_matches(translate({x}, '{UPPER}', '{LOWER}'), '{_NOTICE}')"
+    return rf"""
+        WITH every AS (
+            SELECT id, sha256({_canonical_sql("t")}) AS d FROM (VALUES {texts}) AS v(id, t) UNION ALL SELECT id, d FROM (VALUES {digests}) AS v(id, d)),
+        known AS (SELECT min(id) AS license_id, d AS known_digest FROM every WHERE d <> sha256('') GROUP BY d),
+        documents_ AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS number FROM documents),
+        hashed AS (
+            SELECT number, doc_id, sha256({_canonical_sql("text")}) AS digest,
+                   CASE WHEN regexp_matches(text, {quoted(HEAD_LINE)}) THEN sha256({_canonical_sql(f"regexp_replace(text, {quoted(HEAD_LINE)}, '', 'g')")}) END AS bare
+            FROM documents_),
+        whole AS (
+            SELECT number, doc_id, digest, coalesce(k.license_id, b.license_id) AS license_id
+            FROM hashed LEFT JOIN known k ON digest = k.known_digest LEFT JOIN known b ON bare = b.known_digest),
+        parts AS (
+            SELECT number, true AS line, unnest(string_split(text, chr(10))) AS part FROM documents_ WHERE {noted("text")} UNION ALL
+            SELECT number, false, unnest(string_split_regex(text, '\n[\x20\t\r]*\n')) FROM documents_ WHERE {noted("text")}),
         notes AS (
-            SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
-            FROM (SELECT doc_id, sha256({_canonical_sql("line")}) AS d FROM lines WHERE regexp_matches(lower(line), '{_NOTICE}')) JOIN known ON d = known_digest
-            GROUP BY doc_id)
-        SELECT doc_id, digest, license_id, coalesce(notices, '') AS notices
-        FROM whole LEFT JOIN known ON digest = known_digest LEFT JOIN notes USING (doc_id)"""
+            SELECT number, string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) AS notices
+            FROM (SELECT number, line, sha256({_canonical_sql("part")}) AS d FROM parts WHERE {noted("part")} AND (line OR contains(part, chr(10)))) p
+            JOIN known k ON d = known_digest JOIN whole USING (number) WHERE line OR whole.license_id IS NULL GROUP BY number)
+        SELECT doc_id, digest, license_id, coalesce(notices, '') AS notices FROM whole LEFT JOIN notes USING (number)"""
 
 
 ORACLE_SQL = _oracle()

@@ -5,6 +5,9 @@ import re
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,3 +228,17 @@ def test_languages_bear_odd_rows(spark):
     assert langid.identify_languages(frame(spark, [(1, "text", None, "s", 4)])).first().lang_pred == "und"
     kept = langid.keep_identified(clashing(frame(spark, ODD)), 0.0)
     assert kept.columns == clashing(frame(spark, ODD)).columns and kept.count() == 4
+
+
+def test_the_sql_of_licences_knows_wholes_titles_and_blocks(tmp_path, spark):
+    """Texts that the given tables lack, in the query and in its SQL."""
+    wrapped = lambda t: "\n".join(" ".join(t.split()[k : k + 9]) for k in range(0, len(t.split()), 9))
+    every = list(dict.fromkeys(licenses.KNOWN + licenses.WHOLE))
+    texts = [form(t) for _, t in every for form in (wrapped, str.upper, lambda t: "The MIT License (MIT)\n\nCopyright (c) 2020 Somebody\n\n" + wrapped(t), lambda t: "Words first.\n \n" + wrapped(t) + "\n\nand last")]
+    texts += ["", None, "***", "Copyright Somebody\n" + wrapped(every[0][1]), "BSD 3-Clause License\n\nCopyright X\nAll rights reserved.\n\n" + wrapped(dict(every)["BSD-3-Clause"])]
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "text": texts}), tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, digest, license_id, notices FROM ({licenses.ORACLE_SQL})").fetchall()}
+    got = {r.doc_id: (r.digest, r.license_id, r.notices) for r in licenses.scan_licenses(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect()}
+    assert got == want and sum(i is not None for _, i, _ in got.values()) > len(texts) / 2 and sum(n != "" for *_, n in got.values()) > len(every)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .ranks import ranked
 from .scratch import materialize, settled
 
-BLOCK_BYTES = 8 << 20  # of the texts that are numbered together
+BLOCK_BYTES = 32 << 20  # of the texts that are numbered together
 SLICE_BYTES = 1 << 20  # of a text that is in words at a time
 
 #: Of a word: digits, letters of a to z (A to Z are lower-cased) and every byte of a character beyond ASCII. Others become blanks.
@@ -124,16 +124,21 @@ def _texts(df: DataFrame, doc_id: Column, row: Column) -> DataFrame:
     return df.select(doc_id.cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), row.alias("row"))
 
 
-def _gains(encoded: DataFrame, buckets: int) -> DataFrame:
+def _longer(encoded: DataFrame, known: DataFrame, of_block: list[str]) -> DataFrame:
+    """The n-grams of all blocks as tuples of their words' ids."""
+    parts = encoded.where("parts IS NOT NULL").select(*of_block, "n", F.posexplode("parts").alias("at", "part"))
+    parts = parts.join(known.select("target", "block", F.col("number").alias("part"), "id"), ["target", "block", "part"])
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"])
+    return known.select(*of_block, "n", F.array("id").alias("ids")).unionByName(parts.groupBy(*of_block, "n").agg(in_order.alias("ids")))
+
+
+def _gains(encoded: DataFrame, most: int, buckets: int) -> DataFrame:
     """block, number, gain for each n-gram of each block of the corpus."""
     of_block = ["target", "block", "number"]
     words = encoded.where("word IS NOT NULL").select(*of_block, "word", "n")
     dictionary = materialize(words.select("word").distinct().withColumn("id", F.monotonically_increasing_id()), "dictionary")
-    known = materialize(words.join(dictionary, "word").select(*of_block, "id", "n"), "known")
-    parts = encoded.where("parts IS NOT NULL").select(*of_block, "n", F.posexplode("parts").alias("at", "part"))
-    parts = parts.join(known.select("target", "block", F.col("number").alias("part"), "id"), ["target", "block", "part"])
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"])
-    tuples = known.select(*of_block, "n", F.array("id").alias("ids")).unionByName(parts.groupBy(*of_block, "n").agg(in_order.alias("ids")))
+    known = words.join(dictionary, "word").select(*of_block, "id", "n")
+    tuples = _longer(encoded, materialize(known, "known"), of_block) if most > 1 else known.select(*of_block, "n", F.array("id").alias("ids"))
     tuples = materialize(tuples, "tuples")
 
     of = lambda target: F.sum(F.when(F.col("target") == target, F.col("n")).otherwise(0))
@@ -200,7 +205,7 @@ def importance_ranks(
     others = _encoded(_texts(target, F.lit(None), F.lit(None).cast("boolean")), most, True)
     encoded = materialize(encoded, "encoded")
     both = encoded.drop("row").unionByName(materialize(others, "target").drop("row"))
-    gains = _gains(both, buckets)
+    gains = _gains(both, most, buckets)
     weigh, schema = _weighted(encoded.schema["row"].dataType.simpleString())
     rows = encoded.where("numbers IS NOT NULL").select("block", "doc_id", "row", "n_words", "n_features", "numbers", "counts")
     scored = rows.groupBy("block").cogroup(gains.groupBy("block")).applyInArrow(weigh, schema)

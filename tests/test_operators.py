@@ -78,6 +78,16 @@ def test_range_join_equals_a_loop(spark):
     assert got == {(i, j) for i, x in points for j, lo, hi in ranges if lo <= x < hi}
 
 
+def test_long_ranges_are_few_rows(spark):
+    points = [(k, k * 1.7 - 50) for k in range(120)] + [(999, None)]
+    ranges = [(k, -60 + k * 3.3, -60 + k * 3.3 + length) for k, length in enumerate([0.5, 1, 2, 1e3, 1e9, 3e7, 0, -1] * 5)] + [(99, None, 1.0), (98, 1.0, None)]
+    p, r = spark.createDataFrame(points, "i int, x double"), spark.createDataFrame(ranges, "j int, low double, high double")
+    out = range_join(p, r, "x", "low", "high", 1.0)
+    want = sorted((i, j) for i, x in points for j, lo, hi in ranges if None not in (x, lo, hi) and lo <= x < hi)
+    assert sorted((a.i, a.j) for a in out.collect()) == want
+    assert range_join(p, r.limit(0), "x", "low", "high", 1.0).count() == range_join(p.limit(0), r, "x", "low", "high", 1.0).count() == 0
+
+
 def test_salted_join_keeps_every_pair(spark):
     large = spark.createDataFrame([("hot", k) for k in range(50)] + [("cold", 99)], "k string, v int")
     small = spark.createDataFrame([("hot", "x"), ("cold", "y"), ("none", "z")], "k string, w string")

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.aggregates import check_digits, geometric_mean
 from tessera.functions.columns import cosine, gathered_schema, money, sample_skewness, variant_path
 from tessera.operators.graphs import reached
 from tessera.operators.inequality import inequality_join
 from tessera.operators.joins import asof_join, range_join
 from tessera.operators.windows import exact_percentile, sessionize, stratified_sample, top_k
-from tessera.session import table, write_shared
+from tessera.session import ship_package, table, write_shared
 from tessera.streaming.events import count_by_window, event_stream, first_seen, run_to_end
 from tessera.streaming.sessions import sessions_by_silence, sessions_to_outcome
 
@@ -461,6 +462,20 @@ def events_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("kind", F.lit(gathered_schema(events, "props")))
 
 
+@_query("SELECT l_suppkey, round(exp(sum(l_quantity * ln(l_extendedprice)) / sum(l_quantity)), 4) AS mean FROM lineitem WHERE l_extendedprice > 0 GROUP BY 1")
+def geometric_mean_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregate of the library's own: a geometric mean of prices, weighted by quantity, for each supplier."""
+    lines = table(spark, sf_dir, "lineitem").where("l_extendedprice > 0")
+    return geometric_mean(lines, "l_suppkey", "l_extendedprice", "l_quantity").select("l_suppkey", F.round("mean", 4).alias("mean"))
+
+
+@_query("SELECT o_orderkey, 98 - o_orderkey * 100 % 97 AS digits FROM orders")
+def order_check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vectorised function of the library's own over every order's key."""
+    ship_package(spark)
+    return table(spark, sf_dir, "orders").select("o_orderkey", check_digits("o_orderkey").alias("digits"))
+
+
 @_query("SELECT year(l_shipdate) AS year, count(DISTINCT l_partkey) AS parts, true AS sketch_is_near FROM lineitem GROUP BY 1")
 def distinct_parts_and_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact counts, and whether the merged sketches are within a tenth of them."""

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tessera.session import ship_package
+
 
 def sessions_by_silence(events: DataFrame, by: str, time: str, gap: str) -> DataFrame:
     """by, began, ended, n: what lies less than the gap apart is one session, which ends a gap after its last event. On a
@@ -76,6 +78,7 @@ def sessions_to_outcome(events: DataFrame, by: str, time: str, kind: str, number
     """by, began, last, n, by_outcome of a stream's sessions that are over: those that an event of the kind outcome has
     ended, and those after which nothing came for the gap. Of events at one time, number decides the order. Events later than
     the watermark are dropped, and so are null keys and times. Needs the RocksDB state store (run_to_end's rocksdb)."""
+    ship_package(events.sparkSession)
     kind_of_key = events.schema[by].dataType.simpleString()
     rows = events.where(F.col(by).isNotNull() & F.col(time).isNotNull())
     rows = rows.select(F.col(by).alias("by"), F.col(time), F.unix_micros(time).alias("at"), F.col(number).cast("long").alias("number"), F.col(kind).alias("kind"))

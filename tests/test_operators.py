@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.aggregates import check_digits, geometric_mean
 from tessera.functions.columns import cosine, dot, gathered_schema, variant_path
 from tessera.operators.graphs import reached
 from tessera.operators.inequality import SortedRuns, inequality_join
@@ -261,3 +262,22 @@ def test_lateral_takes_the_first_rows_of_each(spark):
     right = spark.createDataFrame([(k % 3, k) for k in range(12)] + [(None, 99)], "b int, v int")
     inner = right.where(F.col("b") == F.col("a").outer()).orderBy(F.desc("v")).limit(2).select("v")
     assert sorted((r.a, r.v) for r in left.lateralJoin(inner).collect()) == sorted([(1, 10), (1, 7)] * 2 + [(2, 11), (2, 8)])
+
+
+def test_own_aggregates_add_up_over_batches(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 0.0, -1.0, 2.0, 8.0]), rng.choice([None, 1, 3])) for _ in range(500)] + [("none", -1.0, 1)]
+    df = spark.createDataFrame(rows, "g string, v double, q int").repartition(7)
+    want = {}
+    for g in ("a", "b", None, "none"):
+        mine = [(v, q) for h, v, q in rows if h == g and q and v is not None and v > 0]
+        want[g] = math.exp(sum(q * math.log(v) for v, q in mine) / sum(q for _, q in mine)) if mine else None
+    got = {r.g: r["mean"] for r in geometric_mean(df, "g", "v", "q").collect()}
+    assert got.keys() == want.keys() and all(x is None and got[g] is None or math.isclose(got[g], x) for g, x in want.items())
+    assert geometric_mean(df.limit(0), "g", "v", "q").count() == 0
+
+
+def test_check_digits(spark):
+    numbers = [0, 1, 97, 123456789, -5, None]
+    got = [r.d for r in spark.createDataFrame([(n,) for n in numbers], "n long").select(check_digits("n").alias("d")).collect()]
+    assert got[4:] == [None, None] and all((n * 100 + d) % 97 == 1 for n, d in zip(numbers[:4], got[:4], strict=True))

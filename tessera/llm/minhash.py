@@ -217,7 +217,8 @@ def _unit_pairs(units: DataFrame, small: DataFrame, similarity: float) -> DataFr
 
 
 class _Sets:
-    """The shingle sets of some nodes, searched for those that are similar to another set."""
+    """The shingle sets of some nodes, searched for those that are similar to another set; and which of
+    the components that they are of have been joined by what was found."""
 
     def __init__(self):
         self.nodes, self.components, self.sets, self.index = [], [], [], None
@@ -227,39 +228,59 @@ class _Sets:
         self.components.append(component)
         self.sets.append(hashes)
 
-    def similar(self, own: np.ndarray, component, percent: int) -> list[int]:
-        """Numbers of the nodes of other components whose sets reach the similarity."""
-        if not self.nodes:
-            return []
+    def _indexed(self) -> tuple:
         if self.index is None:
             hashes = np.concatenate(self.sets, axis=1)
             owner = np.repeat(np.arange(len(self.sets)), [x.shape[1] for x in self.sets])
             order = np.argsort(hashes[0], kind="stable")
-            self.index = hashes[:, order], owner[order], np.array([x.shape[1] for x in self.sets]), np.array(self.components)
-        hashes, owner, sizes, components = self.index
+            self.index = hashes[:, order], owner[order], np.array([x.shape[1] for x in self.sets])
+            self.sets = []
+            distinct, self.label = np.unique(self.components, return_inverse=True)  # of each node, the label of what is joined
+            self.of = {c: k for k, c in enumerate(distinct.tolist())}  # and of each component
+            self.members = {k: [c] for c, k in self.of.items()}
+        return self.index
+
+    def join(self, own: np.ndarray, component, percent: int) -> list[int]:
+        """Numbers of nodes whose sets reach the similarity, one for each component, or components joined so far, that this
+        joins with the given one. So a group finds no more links than it has components."""
+        if not self.nodes:
+            return []
+        hashes, owner, sizes = self._indexed()
         low, high = np.searchsorted(hashes[0], own[0], "left"), np.searchsorted(hashes[0], own[0], "right")
         n = high - low
         at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
         at = at[hashes[1, at] == np.repeat(own[1], n)]
         both = np.bincount(owner[at], minlength=len(sizes))
-        hit = (both > 0) & (100 * both >= percent * (sizes + own.shape[1] - both)) & (components != component)
-        return np.flatnonzero(hit).tolist()
+        mine = self.of.get(component, -1)
+        hits = np.flatnonzero((both > 0) & (100 * both >= percent * (sizes + own.shape[1] - both)) & (self.label != mine))
+        if not len(hits):
+            return []
+        labels, first = np.unique(self.label[hits], return_index=True)
+        if mine < 0:
+            mine = self.of[component] = len(self.of)
+            self.members[mine] = [component]
+        for label in labels.tolist():
+            for c in self.members[label]:
+                self.of[c] = mine
+            self.members[mine] += self.members.pop(label)
+        self.label[np.isin(self.label, labels)] = mine
+        return hits[first].tolist()
 
 
 def _links(groups: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) between nodes outside (a) and not outside (b) of a group, of different components: at
-    least one for each a and component of b. Confirmed on the full sets. Each group's rows follow each
+    """Links (a, b) between nodes outside (a) and not outside (b) of a group, of different components: those
+    that connect within the group what is connected there. Confirmed on the full sets. Each group's rows follow each
     other, those outside first, so a task holds one group's sets and returns links alone."""
     percent = round(similarity * 100)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, before, sets, linked = None, None, _Sets(), set()
+        group, before, sets = None, None, _Sets()
         for batch in batches:
             out = []
             columns = [batch.column(c).to_pylist() for c in _GROUP]
             for k, (unit, i, j, node, component, outside) in enumerate(zip(*columns, strict=True)):
                 if (unit, i, j) != group:
-                    group, before, sets, linked = (unit, i, j), None, _Sets(), set()
+                    group, before, sets = (unit, i, j), None, _Sets()
                 if (node, outside) == before:  # rows that are alike in id and text
                     continue
                 before = node, outside
@@ -267,10 +288,7 @@ def _links(groups: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, si
                 if outside:
                     sets.add(node, component, own)
                     continue
-                for at in sets.similar(own, component, percent):
-                    if (at, component) not in linked:
-                        linked.add((at, component))
-                        out.append((sets.nodes[at], node))
+                out += [(sets.nodes[at], node) for at in sets.join(own, component, percent)]
             pairs = list(zip(*out, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pairs], ["a", "b"])
 

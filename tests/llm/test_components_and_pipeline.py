@@ -1,7 +1,9 @@
+import os
 import random
 
 import corpus_pipeline
 from tessera.llm.components import connected_components
+from tessera.llm.scratch import shared_folder
 
 from .helpers import ODD, clashing, frame
 
@@ -42,6 +44,14 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert packed.where("start = 0").count() == counts[4]
 
 
+def test_a_run_leaves_its_result_alone(spark):
+    folder = shared_folder(spark).removeprefix("file://") + "/tessera"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = corpus_pipeline.run(spark, TESTDATA)
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["run"]
+    assert rows.where("start = 0").count() > 100
+
+
 def test_stages_bear_odd_rows_and_empty_tables(spark):
     for rows in (ODD, []):
         docs = clashing(frame(spark, rows))

@@ -22,7 +22,7 @@ def sessions_by_silence(events: DataFrame, by: str, time: str, gap: str) -> Data
 class SessionsToOutcome(StatefulProcessor):
     """Per key, the open session and the events that the watermark has not reached.
 
-    Events wait until the watermark is at their time, for which each has a timer, so however they arrive they are taken
+    Events wait until the watermark is at their time, the first of which has a timer, so however they arrive they are taken
     in the order of their times. An outcome ends the session with its event; so does silence, for which the open session
     has a timer. What has ended is emitted and its state cleared: a silent key has neither state nor timers.
     """
@@ -36,11 +36,16 @@ class SessionsToOutcome(StatefulProcessor):
         self.open = handle.getValueState("open", "began long, last long, n long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for r in rows:
-            self.waiting.appendValue((r["at"], r["number"], r["kind"]))
-            self.handle.registerTimer(-(-r["at"] // 1000))
+        new = [(r["at"], r["number"], r["kind"]) for r in rows]
+        if new:
+            self.waiting.appendList(new)
+            self._wake(min(new)[0])
         return iter(())
 
+    def _wake(self, at: int) -> None:
+        """Have a timer at a time in microseconds, once the watermark is there."""
+        self.handle.registerTimer(-(-at // 1000))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
         waiting = sorted(tuple(w) for w in self.waiting.get()) if self.waiting.exists() else []
@@ -48,6 +53,8 @@ class SessionsToOutcome(StatefulProcessor):
         rest = waiting[len(due) :]
         if due:
             self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            self._wake(rest[0][0])
         session = tuple(self.open.get()) if self.open.exists() else None
         for at, _, kind in due:
             if session and at - session[1] >= self.gap * 1000:
@@ -62,7 +69,7 @@ class SessionsToOutcome(StatefulProcessor):
             session = None
         if session:
             self.open.update(session)
-            self.handle.registerTimer(-(-session[1] // 1000) + self.gap)
+            self._wake(session[1] + self.gap * 1000)
         else:
             self.open.clear()
 

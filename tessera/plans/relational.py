@@ -13,7 +13,7 @@ from tessera.functions.aggregates import check_digits, geometric_mean
 from tessera.functions.columns import cosine, gathered_schema, money, sample_skewness, variant_path
 from tessera.operators.graphs import reached
 from tessera.operators.inequality import inequality_join
-from tessera.operators.joins import asof_join, range_join
+from tessera.operators.joins import asof_join, range_join, salted_join
 from tessera.operators.windows import exact_percentile, sessionize, stratified_sample, top_k
 from tessera.session import ship_package, table, write_shared
 from tessera.streaming.events import count_by_window, event_stream, first_seen, run_to_end
@@ -462,6 +462,15 @@ def events_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("kind", F.lit(gathered_schema(events, "props")))
 
 
+@_query("""
+    SELECT s_nationkey, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1""")
+def lines_by_suppliers_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join in which each supplier's lines are dealt to eight tasks, by order, as for suppliers that hold a large share of lines."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_orderkey")
+    joined = salted_join(lines, table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), ["s_suppkey"], 8, F.col("l_orderkey"))
+    return joined.groupBy("s_nationkey").agg(F.count("*").alias("n"), F.count_distinct("s_suppkey").alias("suppliers"))
+
+
 @_query("SELECT l_suppkey, round(exp(sum(l_quantity * ln(l_extendedprice)) / sum(l_quantity)), 4) AS mean FROM lineitem WHERE l_extendedprice > 0 GROUP BY 1")
 def geometric_mean_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An aggregate of the library's own: a geometric mean of prices, weighted by quantity, for each supplier."""

@@ -242,3 +242,11 @@ def test_the_sql_of_licences_knows_wholes_titles_and_blocks(tmp_path, spark):
     want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, digest, license_id, notices FROM ({licenses.ORACLE_SQL})").fetchall()}
     got = {r.doc_id: (r.digest, r.license_id, r.notices) for r in licenses.scan_licenses(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect()}
     assert got == want and sum(i is not None for _, i, _ in got.values()) > len(texts) / 2 and sum(n != "" for *_, n in got.values()) > len(every)
+
+
+def test_very_long_urls_are_read_whole(spark):
+    long = "x/" * 1_000_000
+    urls = {1: f"https://example.org/es/{long}", 2: f"https://quiet.net/{long}", 3: f"https://quiet.net/{long}casino", 4: "https://" + "a." * 500_000 + "com/de/x"}
+    rows = {r.page_id: r for r in urlfilter.judge_urls(spark.createDataFrame([(k, u, "") for k, u in urls.items()], PAGES)).collect()}
+    assert [rows[k].verdict for k in (1, 2, 3, 4)] == ["block", "allow", "block", "block"]
+    assert rows[1].rule == "example.org/es/" and rows[4].rule == "com/de/" and len(rows[2].path) == len(long) + 1

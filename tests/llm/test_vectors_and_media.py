@@ -162,6 +162,26 @@ def test_many_copies_of_few_images_against_all_pairs(spark, monkeypatch):
         assert len(images) - len(set(got.values())) >= 0.9 * merges
 
 
+def test_links_beyond_the_centres_are_found(spark, monkeypatch):
+    """Pictures drawn from vectors share buckets with many unrelated ones, so with one centre a bucket most links are beyond it."""
+    monkeypatch.setattr(media, "WHOLE_ROUNDS", 2)
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(400, 64))
+    x[200:280] = x[:80] + rng.normal(0, 0.08, (80, 64))
+    df = media.draw_embeddings(spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], VECTORS))
+    want = sorted(tuple(r) for r in media.near_media(df, None).collect())
+    assert sum(not kept for *_, kept in want) >= 60
+    assert sorted(tuple(r) for r in media.near_media(df, 1).collect()) == want
+    rows = media._features(df).selectExpr("media_id AS node", "media_id % 90 AS component", "places", "words", "media_id AS h", "0 AS block")
+    block, found = media._Block(rows.toArrow()), []
+    for votes, pairs in ((media.VOTES, media.PAIRS), (20, 500)):
+        monkeypatch.setattr(media, "VOTES", votes)
+        monkeypatch.setattr(media, "PAIRS", pairs)
+        pieces = [*block.candidates(np.arange(150), np.arange(150, 400)), *block.candidates(np.arange(150), np.arange(150))]
+        found.append({(a, b) for one, two in pieces for a, b in zip(one.tolist(), two.tolist(), strict=True)})
+    assert found[0] == found[1] and found[0] and all(a < b and a % 90 != b % 90 for a, b in found[0])
+
+
 def test_strong_crops_and_other_sizes(spark):
     """Halves, quarters, a turned quarter, both sizes; pictures of 192 pixels, and one beyond MOST_SIDE."""
     rng = np.random.default_rng(11)

@@ -206,6 +206,19 @@ def test_inequality_join_equals_a_loop(spark, ops):
     assert inequality_join(l, r.limit(0), ("a", ops[0], "b"), ("c", ops[1], "d")).count() == 0
 
 
+def test_short_intervals_are_dealt_to_few_places(spark, monkeypatch):
+    """However many rows there are, one meets few blocks of others where only neighbours can overlap."""
+    n = 4000
+    rows = [(k, 3.0 * k, 3.0 * k + 1 + k % 5) for k in range(n)]
+    l, r = spark.createDataFrame(rows, "k long, a double, c double"), spark.createDataFrame(rows, "m long, b double, d double")
+    dealt, repartition = [], type(l).repartition
+    monkeypatch.setattr(type(l), "repartition", lambda df, *by: (dealt.append(df.count()), repartition(df, *by))[1])
+    out = inequality_join(l, r, ("a", "<", "d"), ("c", ">", "b"), 20).select("k", "m")
+    want = {(k, m) for k in range(n) for m in range(max(k - 2, 0), min(k + 3, n)) if 3 * k < 3 * m + 1 + m % 5 and 3 * k + 1 + k % 5 > 3 * m}
+    assert sorted(tuple(x) for x in out.collect()) == sorted(want)
+    assert len(dealt) == 1 and dealt[0] <= 12 * n
+
+
 def test_sorted_runs_find_what_is_below():
     rng = np.random.default_rng(6)
     for n in (0, 1, 2, 7, 64, 100):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -24,22 +25,26 @@ class SessionsToOutcome(StatefulProcessor):
 
     Events wait until the watermark is at their time, the first of which has a timer, so however they arrive they are taken
     in the order of their times. An outcome ends the session with its event; so does silence, for which the open session
-    has a timer. What has ended is emitted and its state cleared: a silent key has neither state nor timers.
+    has a timer. What has ended is emitted and its state cleared: a silent key has neither state nor timers. What waits is one
+    value of packed numbers (time, number, whether it is an outcome), read and written at once: a list's entries would be sent one by one.
     """
 
-    def __init__(self, gap_ms: int, outcome: str):
-        self.gap, self.outcome = gap_ms, outcome
+    def __init__(self, gap_ms: int):
+        self.gap = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, number long, kind string")
+        self.waiting = handle.getValueState("waiting", "events binary")
         self.open = handle.getValueState("open", "began long, last long, n long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [(r["at"], r["number"], r["kind"]) for r in rows]
+        new = array("q")
+        for r in rows:
+            new.extend(r[1:4])
         if new:
-            self.waiting.appendList(new)
-            self._wake(min(new)[0])
+            before = self.waiting.get()
+            self.waiting.update(((bytes(before[0]) if before else b"") + new.tobytes(),))
+            self._wake(min(new[::3]))
         return iter(())
 
     def _wake(self, at: int) -> None:
@@ -48,20 +53,25 @@ class SessionsToOutcome(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(tuple(w) for w in self.waiting.get()) if self.waiting.exists() else []
+        held = self.waiting.get()
+        flat = array("q", bytes(held[0]) if held else b"")
+        waiting = sorted(zip(flat[::3], flat[1::3], flat[2::3], strict=True))
         due = [w for w in waiting if w[0] <= now * 1000]
         rest = waiting[len(due) :]
-        if due:
-            self.waiting.put(rest) if rest else self.waiting.clear()
+        if due and rest:
+            self.waiting.update((array("q", [x for w in rest for x in w]).tobytes(),))
+        elif due:
+            self.waiting.clear()
         if rest:
             self._wake(rest[0][0])
-        session = tuple(self.open.get()) if self.open.exists() else None
-        for at, _, kind in due:
+        known = self.open.get()
+        session = tuple(known) if known else None
+        for at, _, over in due:
             if session and at - session[1] >= self.gap * 1000:
                 yield self._closed(key, session, False)
                 session = None
             session = (session[0], at, session[2] + 1) if session else (at, at, 1)
-            if kind == self.outcome:
+            if over:
                 yield self._closed(key, session, True)
                 session = None
         if session and session[1] + self.gap * 1000 <= now * 1000:
@@ -70,7 +80,7 @@ class SessionsToOutcome(StatefulProcessor):
         if session:
             self.open.update(session)
             self._wake(session[1] + self.gap * 1000)
-        else:
+        elif known:
             self.open.clear()
 
     @staticmethod
@@ -83,12 +93,15 @@ class SessionsToOutcome(StatefulProcessor):
 
 def sessions_to_outcome(events: DataFrame, by: str, time: str, kind: str, number: str, gap_seconds: int, outcome: str) -> DataFrame:
     """by, began, last, n, by_outcome of a stream's sessions that are over: those that an event of the kind outcome has
-    ended, and those after which nothing came for the gap. Of events at one time, number decides the order. Events later than
+    ended, and those after which nothing came for the gap. Of events at one time, number decides the order, a null one first. Events later than
     the watermark are dropped, and so are null keys and times. Needs the RocksDB state store (run_to_end's rocksdb)."""
     ship_package(events.sparkSession)
     kind_of_key = events.schema[by].dataType.simpleString()
     rows = events.where(F.col(by).isNotNull() & F.col(time).isNotNull())
-    rows = rows.select(F.col(by).alias("by"), F.col(time), F.unix_micros(time).alias("at"), F.col(number).cast("long").alias("number"), F.col(kind).alias("kind"))
+    rows = rows.select(
+        F.col(by).alias("by"), F.unix_micros(time).alias("at"), F.coalesce(F.col(number).cast("long"), F.lit(-(2**63))).alias("number"),
+        F.coalesce(F.col(kind) == outcome, F.lit(False)).cast("long").alias("over"), F.col(time),
+    )
     schema = f"by {kind_of_key}, began long, last long, n long, by_outcome boolean"
-    found = rows.groupBy("by").transformWithState(SessionsToOutcome(gap_seconds * 1000, outcome), schema, "append", "eventtime")
+    found = rows.groupBy("by").transformWithState(SessionsToOutcome(gap_seconds * 1000), schema, "append", "eventtime")
     return found.select(F.col("by").alias(by), F.timestamp_micros("began").alias("began"), F.timestamp_micros("last").alias("last"), "n", "by_outcome")

@@ -185,6 +185,17 @@ def test_sessions_to_an_outcome_and_their_state(spark, tmp_path):
         assert {r.key.by for r in rows.select("key").collect()} == ({"x"} if name == "waiting" else set())
 
 
+def test_what_waits_is_one_value_a_key_and_null_numbers_come_first(spark, tmp_path):
+    at = lambda m: T0 + timedelta(minutes=m)
+    batches = [[(None, "u", at(0), "buy"), (1, "u", at(0), "view")], [(k, "w", at(300 + k), "view") for k in range(20)]]
+    stream = stream_of(spark, str(tmp_path / "in"), batches, "number long, u string, ts timestamp, kind string").withWatermark("ts", "1 hour")
+    found = run_to_end(sessions_to_outcome(stream, "u", "ts", "kind", "number", 1800, "buy"), "append", rocksdb=True)
+    assert {tuple(r) for r in found.collect()} == {("u", at(0), at(0), 1, True), ("u", at(0), at(0), 1, False)}
+    folder = found.inputFiles()[0].rsplit("/", 2)[0].removeprefix("file://") + "-state"
+    assert spark.read.format("statestore").option("stateVarName", "waiting").load(folder).count() == 1
+
+
+
 @pytest.mark.parametrize("ops", [("<", ">"), ("<=", "<"), (">", ">="), (">=", "<=")])
 def test_inequality_join_equals_a_loop(spark, ops):
     rng = random.Random(4)

@@ -1,3 +1,4 @@
+import time
 import tracemalloc
 
 import duckdb
@@ -209,6 +210,53 @@ def test_large_unrelated_images_do_not_link():
     assert all(descriptors.inliers(found[a], found[b]) == 0 for a in range(5) for b in range(a))
 
 
+def plain_inliers(one, two):
+    """The comparison of two images, written for a single pair."""
+    if len(one[0]) < descriptors.MIN_INLIERS or len(two[0]) < descriptors.MIN_INLIERS:
+        return 0
+    bits = [np.unpackbits(f[4].view(np.uint8), axis=1).astype(np.int16) for f in (one, two)]
+    far = np.abs(bits[0][:, None] - bits[1][None]).sum(axis=2)
+    i = np.arange(len(one[0]))
+    j = far.argmin(axis=1)
+    good = (far.argmin(axis=0)[j] == i) & (far[i, j] <= descriptors.HAMMING)
+    i, j = i[good], j[good]
+    if len(i) < descriptors.MIN_INLIERS:
+        return 0
+    turn, grow = two[2][j] - one[2][i], two[3][j] / one[3][i]
+    c, s = grow * np.cos(turn), grow * np.sin(turn)
+    x, y, u, v = one[0][i], one[1][i], two[0][j], two[1][j]
+    dx, dy = x[None, :] - x[:, None], y[None, :] - y[:, None]
+    ex = u[:, None] + c[:, None] * dx - s[:, None] * dy - u[None, :]
+    ey = v[:, None] + s[:, None] * dx + c[:, None] * dy - v[None, :]
+    most = int((np.hypot(ex, ey) <= descriptors.TOLERANCE + 0.12 * grow[:, None] * np.hypot(dx, dy)).sum(axis=1).max())
+    return most if most >= descriptors.LEAST_SHARE * len(i) else 0
+
+
+def test_images_compared_together_match_as_pairs_do():
+    """Equal counts for images of few and many corners, and none; pairs of small ones together take a fraction of the time."""
+    rng = np.random.default_rng(21)
+    sizes = [64] * 70 + [17, 20, 30, 96, 96, 130, 300, 300]
+    images = [np.rint(descriptors.resize(rng.random((1, 8, 8)).astype(np.float32), n, n) * 255) for n in sizes]
+    images += [np.rot90(i, axes=(1, 2)) for i in images[:10] + images[-4:]] + [np.full((1, 40, 40), 7.0)]
+    found = [descriptors.describe(i)[0] for i in images]
+    a, b = (v.ravel() for v in np.meshgrid(*[np.arange(len(images))] * 2))
+    count = np.array([len(f[0]) for f in found])
+    x, y, angle, scale, words = (np.concatenate(c) for c in zip(*found, strict=True))
+    points, start = (x, y, angle, scale, list(np.ascontiguousarray(words.T))), np.cumsum(count) - count
+    assert count.min() == 0 and count.max() > 128
+    want = [plain_inliers(found[i], found[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert descriptors.many_inliers(points, start, count, a, b).tolist() == want and sum(n >= descriptors.MIN_INLIERS for n in want) > 100
+    assert [descriptors.inliers(found[i], found[j]) for i, j in zip(a[:200], b[:200], strict=True)] == want[:200]
+    assert descriptors.many_inliers(points, start, count, a[:0], b[:0]).tolist() == []
+    small = np.flatnonzero((a < 70) & (b < 70))
+    took = []
+    for run in (lambda: [plain_inliers(found[i], found[j]) for i, j in zip(a[small].tolist(), b[small].tolist(), strict=True)], lambda: descriptors.many_inliers(points, start, count, a[small], b[small])):
+        began = time.process_time()
+        run()
+        took.append(time.process_time() - began)
+    assert took[1] < took[0] / 2.5
+
+
 def test_images_that_cannot_link(spark):
     flat = descriptors.write_pgm(np.full((40, 40), 7))
     rows = [(1, None), (2, b""), (3, b"P5\n9"), (4, b"JPEG"), (5, flat), (6, flat), (None, flat), (7, descriptors.write_pgm(np.zeros((1, 3)))), (7, None)]

@@ -14,6 +14,7 @@ from tessera.operators.graphs import reached
 from tessera.operators.inequality import SortedRuns, inequality_join
 from tessera.operators.joins import asof_join, place_among, quantile_bounds, range_join, salted_join
 from tessera.operators.windows import exact_percentile, sessionize, stratified_sample, top_k
+from tessera.plans import relational
 from tessera.sources.files import read_table, write_table
 from tessera.streaming.events import count_by_window, first_seen, run_to_end
 from tessera.streaming.sessions import sessions_by_silence, sessions_to_outcome
@@ -230,6 +231,36 @@ def test_short_intervals_are_dealt_to_few_places(spark, monkeypatch):
     assert len(dealt) == 1 and dealt[0] <= 12 * n
 
 
+def test_a_third_condition_and_chosen_columns(spark):
+    """Tested before pairs leave their task; null and NaN as in the others."""
+    rng = random.Random(9)
+    nan = float("nan")
+    left, right = ([(k, rng.randrange(40), rng.randrange(40), rng.choice([None, nan, *range(6)])) for k in range(n)] for n in (150, 120))
+    as_double = lambda rows: [(*r[:3], None if r[3] is None else float(r[3])) for r in rows]
+    l = spark.createDataFrame(as_double(left), "i int, a int, c int, e double")  # noqa: E741
+    r = spark.createDataFrame(as_double(right), "j int, b int, d int, f double")
+    rank = lambda x: (math.isnan(x), 0 if math.isnan(x) else x)
+    for op, test in (("<", operator.lt), (">=", operator.ge)):
+        want = sorted((j, c, i) for i, a, c, e in left for j, b, d, f in right if None not in (e, f) and a < b and c >= d and test(rank(e), rank(f)))
+        for block in (16_384, 20):
+            out = inequality_join(l, r, ("a", "<", "b"), ("c", ">=", "d"), block, also=("e", op, "f"), columns=["j", "c", "i"])
+            assert out.columns == ["j", "c", "i"] and sorted(tuple(x) for x in out.collect()) == want and want
+
+
+def test_pairs_of_copies_are_written_small(spark, tmp_path, monkeypatch):
+    """Many users' sessions at the same times: what is written of a session's pairs resembles the next one's, so it takes few bytes; and
+    sessions are made once for both sides."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").crossJoin(spark.range(100).withColumnRenamed("id", "copy"))
+    events.withColumn("user_id", F.col("user_id") + 100_000 * F.col("copy")).drop("copy").write.parquet(f"{tmp_path}/events.parquet")
+    sides = []
+    monkeypatch.setattr(relational, "inequality_join", lambda *args, **more: (sides.extend(args[:2]), inequality_join(*args, **more))[1])
+    out = relational.sessions_at_one_time(spark, str(tmp_path))
+    assert len(sides) == 2 and not any("Window" in s._jdf.queryExecution().toString() for s in sides)
+    out.write.parquet(f"{tmp_path}/pairs")
+    n = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert n > 100_000 and sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.7 * n
+
+
 def test_sorted_runs_find_what_is_below():
     rng = np.random.default_rng(6)
     for n in (0, 1, 2, 7, 64, 100):

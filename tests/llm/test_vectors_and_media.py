@@ -257,6 +257,28 @@ def test_images_compared_together_match_as_pairs_do():
     assert took[1] < took[0] / 2.5
 
 
+def test_blocks_in_rounds_find_what_one_block_does(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(240, 64))
+    x[150:] = x[:90] + rng.normal(0, 0.08, (90, 64))
+    nodes = media._features(media.draw_embeddings(spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], VECTORS)))
+    nodes = nodes.selectExpr("media_id AS node", "struct(places, words) AS f", "media_id % 200 AS component").where("size(f.words) > 0").cache()
+
+    def classes(links):
+        root = {k: k % 200 for k in range(240)}
+        for a, b in links:
+            low, high = sorted((root[a], root[b]))
+            root = {k: low if c == high else c for k, c in root.items()}
+        return root
+
+    found = []
+    for block, few, dealt in ((10**9, 1, 10**9), (1000, 8, 10**9), (1000, 8, 9000)):
+        for name, value in (("BLOCK_POINTS", block), ("FEW_BLOCKS", few), ("ROUND_POINTS", dealt)):
+            monkeypatch.setattr(media, name, value)
+        found.append(classes(sorted(tuple(r) for r in media._across(nodes).collect())))
+    assert found[0] == found[1] == found[2] and len(set(found[0].values())) < 190
+
+
 def test_images_that_cannot_link(spark):
     flat = descriptors.write_pgm(np.full((40, 40), 7))
     rows = [(1, None), (2, b""), (3, b"P5\n9"), (4, b"JPEG"), (5, flat), (6, flat), (None, flat), (7, descriptors.write_pgm(np.zeros((1, 3)))), (7, None)]
